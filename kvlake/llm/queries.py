@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import media, mixing, near_dup, packing, pii, sharding, url_filter
+from kvlake.llm import hamming, media, mixing, near_dup, packing, pii, sharding, substring, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -27,6 +27,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding"), 64).alias("code"))
+    return hamming.top_k(codes.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), codes)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -53,6 +67,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
+    "op3_top_k": op3_top_k,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
@@ -62,6 +79,18 @@ QUERIES = {
 
 _REST = r"regexp_replace(substr(url, strpos(url, '://') + 3), '[?#].*$', '', 's')"
 ORACLES = {
+    "op3_top_k": """
+WITH codes AS (
+  SELECT vec_id AS id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE len(embedding) >= 64
+), pairs AS (
+  SELECT q.id AS query_id, c.id,
+         CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN q.bits[i] <> c.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM codes q CROSS JOIN codes c WHERE q.id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs) WHERE rank <= 10
+""",
     "op7_url_filter": rf"""
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN {_REST} ELSE '' END AS rest FROM pages
