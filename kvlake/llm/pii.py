@@ -18,8 +18,8 @@ regression over vote and shape features, which is applied as one SQL
 expression. Candidates it accepts are added as kind ``secret``, or ``number``
 where they have digits only.
 
-Null texts count as empty; other columns stay as they are (one named ``pii``
-is replaced). Repeated rows are treated alike. An empty table trains nothing
+Null texts count as empty; other columns stay as they are (one that has the
+name of the output column is replaced). Repeated rows are treated alike. An empty table trains nothing
 and adds no spans. Patterns are possessive, so long texts are read in linear
 time and without deep recursion.
 """
@@ -218,8 +218,8 @@ def _score(x: Column, w: list[float]) -> Column:
     return sum(terms, F.lit(w[0]))
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with column pii: array<struct<start, nth, end, kind>> in order of start, then kind; base kinds have nth 0 to 3."""
+def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
+    """docs with one more column: array<struct<start, nth, end, kind>> in order of start, then kind; base kinds have nth 0 to 3."""
     found = _with_matches(docs.select(F.col(text).alias("text")), "text")
     each = found.filter(F.size("__extra") > 0).select(F.explode("__extra").alias("x"))
     counted = each.select(*[c.alias(k) for k, c in _features(F.col("x")).items()]).groupBy(*VOTES, *SHAPES).agg(F.count("*").alias("n"))
@@ -231,7 +231,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda x: F.struct(x["start"].alias("start"), F.when(x["match"].rlike("^[0-9]+$"), 5).otherwise(4).alias("nth"), x["end"].alias("end")),
     )
     spans = F.transform(F.array_sort(F.concat("__base", more)), lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["end"].alias("end"), kind[s["nth"]].alias("kind")))
-    return _once(df, pii=spans).drop("__base", "__extra")
+    return _once(df, **{into: spans}).drop("__base", "__extra")
 
 
 def span_list(spans: Column) -> Column:
@@ -241,7 +241,7 @@ def span_list(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; overlapping spans are replaced as one, named by the first."""
-    df = find_pii(docs, text)
+    df = find_pii(docs, text, "__pii")
     t = F.col(f"`{text}`")
 
     def step(s: Column, x: Column) -> Column:
@@ -254,5 +254,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = lambda s: F.concat(s["out"], F.substring(t, (s["pos"] + 1).cast("int"), F.length(t)))
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    done = F.when(F.size("pii") > 0, F.aggregate("pii", start, step, rest)).otherwise(t)
-    return df.withColumn(text, done).drop("pii")
+    done = F.when(F.size("__pii") > 0, F.aggregate("__pii", start, step, rest)).otherwise(t)
+    return df.withColumn(text, done).drop("__pii")
