@@ -64,18 +64,23 @@ def shingle_sets(w: Words, words: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(values: np.ndarray, places: int = SKETCH) -> np.ndarray:
-    """Minwise token (32 bits) of a set at each place."""
-    out = np.full(places, np.iinfo(np.uint64).max, np.uint64)
+def sketches(sets: list[np.ndarray]) -> list[bytes | None]:
+    """The minwise tokens (32 bits) of each set at all places; None for empty sets."""
+    full = [s for s in sets if len(s)]
+    if not full:
+        return [None] * len(sets)
+    values = np.concatenate(full)
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
+    out = np.empty((len(full), SKETCH), np.uint64)
+    x, high = np.empty_like(values), np.empty_like(values)
     with np.errstate(over="ignore"):
-        for at in range(0, len(values), 4096):
-            part = values[at : at + 4096]
-            for i in range(places):
-                x = part * _SEEDS[i]
-                least = (x ^ (x >> np.uint64(32))).min()
-                if least < out[i]:
-                    out[i] = least
-    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+        for i in range(SKETCH):
+            np.multiply(values, _SEEDS[i], out=x)
+            np.right_shift(x, np.uint64(32), out=high)
+            np.bitwise_xor(x, high, out=x)
+            out[:, i] = np.minimum.reduceat(x, begins)
+    rows = iter((mix(out) >> np.uint64(32)).astype(np.uint32))
+    return [next(rows).tobytes() if len(s) else None for s in sets]
 
 
 def describe(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -93,7 +98,7 @@ def describe(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([m[0] for m in marks], pa.int64()),
                         pa.array([m[1] for m in marks], pa.int64()),
-                        pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(sketches(sets), pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "d1", "d2", "sketch"],
                 )
@@ -232,12 +237,12 @@ def candidate_links(classes: DataFrame, threshold: float, trees: int, node: int,
         out.append(links)
 
     for at in range(depth + 1):
-        level, path = saved(level)
+        level, level_path = saved(level)
+        sized, path = saved(level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node").select("doc_id", "node", "n"))
+        remove(classes.sparkSession, level_path)
         paths.append(path)
-        sized = level.join(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
         compare(sized.filter(F.col("n") <= node))
-        large, path = saved(sized.filter(F.col("n") > node).select("doc_id", "node", "n"))
-        paths.append(path)
+        large = sized.filter(F.col("n") > node)
         if large.isEmpty():
             break
         inside, rest = _dense(large, classes, node)
@@ -266,21 +271,21 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = links.sparkSession
     edges, path = saved(links.filter("a <> b").selectExpr("greatest(a, b) as v", "least(a, b) as u").distinct())
+    seal = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    mark = seal(edges)
     while True:
         both = edges.union(edges.selectExpr("u as v", "v as u"))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").filter("u > v").selectExpr("u as v", "m as u")
-        large = large.filter("v <> u").distinct()
-        # small star: neighbours that are smaller, and the vertex itself, join the smallest
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(low, "v")
-        small = joined.selectExpr("u as v", "m as u").union(joined.selectExpr("v", "m as u")).filter("v <> u").distinct()
+        large = both.join(least, "v").filter("u > v and u <> m").selectExpr("u as v", "m as u")
+        # small star: smaller neighbours, and the vertex itself, join the smallest
+        joined = large.join(large.groupBy("v").agg(F.min("u").alias("m")), "v")
+        pairs = F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        small = joined.select(F.explode(pairs).alias("p")).select("p.v", "p.u").filter("v <> u").distinct()
         nxt, nxt_path = saved(small)
-        same = edges.exceptAll(nxt).isEmpty() and nxt.exceptAll(edges).isEmpty()
         remove(spark, path)
-        edges, path = nxt, nxt_path
+        edges, path, before, mark = nxt, nxt_path, mark, seal(nxt)
         release(spark)
-        if same:
+        if mark == before:
             break
     own = edges.select(F.col("v").alias("doc_id"), F.col("u").alias("component"))
     roots = edges.select(F.col("u").alias("doc_id"), F.col("u").alias("component")).distinct()
@@ -341,8 +346,26 @@ def settle(sets: list[np.ndarray], num: int, den: int, label: np.ndarray | None
     return links
 
 
+def joined(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(id, smallest id of its component) of all linked members but the smallest."""
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        if ids[a] > ids[b]:
+            a, b = b, a
+        parent[b] = a
+    return sorted({(ids[i], ids[r]) for i in range(len(ids)) if ids[r := root(i)] != ids[i]})
+
+
 def _settled(groups: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
-    """Links (a, b) inside each group of (grp, doc_id, known, text); known: rows with one value are joined already."""
+    """Links (member, smallest member of its component) of each group of (grp, doc_id, known, text); rows with one value of known are joined already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [None, [], [], []]
@@ -352,10 +375,10 @@ def _settled(groups: DataFrame, words: int, num: int, den: int, parts: int) -> D
             if len(ids) < 2:
                 return None
             _, label = np.unique(np.array(known, np.int64), return_inverse=True)
-            found = settle(sets, num, den, label)
-            if not found:
+            star = joined(ids, settle(sets, num, den, label))
+            if not star:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in star], pa.int64()), pa.array([b for _, b in star], pa.int64())], ["a", "b"])
 
         for batch in batches:
             keys, ids, known = (batch.column(i).to_pylist() for i in range(3))
@@ -380,8 +403,8 @@ def near_duplicates(
     words: int = 5,
     similarity: tuple[int, int] = (75, 100),
     trees: int = 12,
-    node: int = 1024,
-    depth: int = 6,
+    node: int = 4096,
+    depth: int = 4,
     budget: int = 2_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -412,11 +435,8 @@ def near_duplicates(
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     first = texts.join(member.select("doc_id", F.xxhash64("component", "block").alias("grp"), F.col("doc_id").alias("known")), "doc_id")
     exact, exact_path = saved(_settled(first, words, num, den, parts))
-    done = [exact]
-    kept_paths = [exact_path]
     if not member.filter("n_blocks > 1").isEmpty():
         known, known_path = components(exact)
-        kept_paths.append(known_path)
         apart = (
             member.filter("n_blocks > 1")
             .join(known.withColumnRenamed("component", "known"), "doc_id", "left")
@@ -426,11 +446,12 @@ def near_duplicates(
             .withColumn("grp", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(1)))
         )
         more, more_path = saved(_settled(texts.join(apart.select("doc_id", "grp", "known"), "doc_id"), words, num, den, parts))
-        done.append(more)
-        kept_paths.append(more_path)
-    links = done[0] if len(done) == 1 else done[0].union(done[1])
-    final, _ = components(links)
-    remove(spark, *kept_paths, member_path, found_path)
+        kept_paths = [exact_path, known_path, more_path]
+        final, _ = components(exact.union(more))
+        remove(spark, *kept_paths)
+    else:  # every group was settled whole
+        final = exact.selectExpr("a as doc_id", "b as component")
+    remove(spark, member_path, found_path)
 
     reps_of = by_set.join(final, by_set["rep"] == final["doc_id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("sketch").join(reps_of, ["d1", "d2"], "left")
