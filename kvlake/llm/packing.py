@@ -175,7 +175,7 @@ def _exchange(give: list[int], take: list[int], room: int) -> tuple[list[int], l
 
 def local_search(bins: list[list[int]], lengths: list[int], cap: int, sweeps: int = 500) -> list[list[int]]:
     """Empty bins while there are more than the tokens need and some exchange raises the sum of squared fills."""
-    need = -(-sum(lengths) // cap)
+    need = max(-(-sum(lengths) // cap), sum(2 * n > cap for n in lengths))
     fill = [sum(lengths[i] for i in b) for b in bins]
     alive = len(bins)
     for _ in range(sweeps):

@@ -205,13 +205,14 @@ class Network:
         g["char"] = (ids[:, 1:].ravel(), np.repeat(dx[:, WORD_DIM:] / N_GRAMS, N_GRAMS, axis=0))
         return float(loss.mean()), g
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 3, batch: int = 24, rate: float = 0.01, seed: int = 5) -> list[float]:
-        """Adam over shuffled batches of whole texts; half of the words hide their word embedding, so that characters count. Mean loss of each epoch."""
+    def fit(self, texts: list[bytes], labels: list[int], steps: int = 260, batch: int = 24, rate: float = 0.03, seed: int = 5) -> list[float]:
+        """Adam over shuffled batches of whole texts, for as many epochs as make ``steps``; half of the words hide their word embedding, so that characters count. Mean loss of each epoch."""
         r, y = np.random.default_rng(seed), np.array(labels)
         first, second, step, losses = {}, {}, 0, []
-        for _ in range(epochs):
+        n = max(1, len(texts) // batch)
+        for _ in range(-(-steps // n)):
             seen = []
-            for chosen in np.array_split(r.permutation(len(texts)), max(1, len(texts) // batch)):
+            for chosen in np.array_split(r.permutation(len(texts)), n):
                 ids, index, begins = word_ids([texts[i] for i in chosen])
                 words, starts = window_words(index, begins, len(ids))
                 loss, g = self.gradients(ids, words, starts, y[chosen], (r.random(len(ids)) < 0.5).astype(np.float32))

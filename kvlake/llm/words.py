@@ -112,6 +112,9 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
+        if n > len(_ODD):  # two halves
+            half = n // 2
+            return mix(windows(hashes, half)[:count] * np.uint64(_ODD[0]) + windows(hashes, n - half)[half:] * np.uint64(_ODD[1]))
         total = np.zeros(count, np.uint64)
         for i in range(n):
             total += hashes[i : i + count] * np.uint64(_ODD[i])
