@@ -6,15 +6,19 @@ thirds of the runs. Parameters are stated once, below.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.functions import scalar
+from kvlake.functions import generate, scalar
 from kvlake.operators import bloom, compaction, recovery, snapshot, workload, zonemap
+from kvlake.plans.engine import Engine
 from kvlake.schema import Options
 from kvlake.sources import catalog, oplog
+from kvlake.sources.store import shared_dir
+from kvlake.streaming import ingest
 
 LOWER, UPPER = "u0000020", "u0000050"
 READ_SEQ, CHECKPOINT_SEQ = 5000, 9000
@@ -399,3 +403,38 @@ SELECT CAST(max(r) AS BIGINT) AS peak FROM (SELECT sum(d) OVER (ORDER BY moment,
 def wl_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     return workload.backlog(_events(spark, sf_dir), at, at + 1_800_000_000)
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT k, v FROM newest WHERE op = 1")
+def kv_engine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log committed to an engine in five batches, each flushed, all compacted, and scanned."""
+    log = _log(spark, sf_dir).select(F.col("k").cast("binary").alias("key"), "seq", "op", F.col("v").cast("binary").alias("value"))
+    engine = Engine(spark, f"{shared_dir(spark).rstrip('/')}/engine-{uuid.uuid4().hex}").start()
+    last = log.agg(F.max("seq")).first()[0] or 0
+    size = -(-last // 5)
+    for first in range(0, last, max(1, size)):
+        upto = min(last, first + size)
+        engine.append(log.filter((F.col("seq") > first) & (F.col("seq") <= upto)), upto - first)
+        engine.flush()
+    engine.compact()
+    return engine.scan().select(F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT k, seq, op, v FROM newest")
+def kv_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version per key, kept by a streaming aggregate over the events."""
+    table = _events(spark, sf_dir)
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque*")  # a pattern, as the table may be one file
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    view = ingest.latest_view(oplog.from_events(stream).withColumnsRenamed({"k": "key", "v": "value"}))
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/latest")
+
+    view.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/latest").withColumnsRenamed({"key": "k", "value": "v"})
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, lpad(CAST(i % 700 + 1 AS VARCHAR), 10, '0') AS key FROM range(5000) t(i)")
+def wl_counter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.keys(spark, 5000, "seq", wrap=700)
