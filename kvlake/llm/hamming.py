@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from kvlake.llm.store import saved
 
 
-def sign_code(vector: Column, bits: int) -> Column:
-    """A long whose bit i says that component i is above 0; null if there are fewer components. bits: 64 at most."""
-    parts = [F.when(F.coalesce(vector[i] > 0, F.lit(False)), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(bits)]
-    return F.when(F.size(vector) >= bits, reduce(lambda a, b: a.bitwiseOR(b), [p.cast("long") for p in parts]))
+def sign_code(vector: str, bits: int) -> Column:
+    """A long whose bit i says that component i of a column is above 0; null if there are fewer components. bits: 64 at most."""
+    set_bits = " | ".join(f"if(coalesce({vector}[{i}] > 0, false), shiftleft(1L, {i}), 0L)" for i in range(bits))
+    return F.expr(f"if(size({vector}) >= {bits}, {set_bits}, null)")
 
 
 def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, segments: int = 8) -> DataFrame:
@@ -38,28 +38,25 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, seg
 
     queries: (query_id, code); codes: (id, code). Rows without a code are left out.
     """
-    spark, width = codes.sparkSession, bits // segments
+    width = bits // segments
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     entries, _ = saved(codes.filter("code is not null").withColumn("n", nth).filter(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     asked, _ = saved(queries.filter("code is not null").select("query_id", "code"))
-    part = lambda code, s: F.expr(f"cast(shiftrightunsigned({code}, {s * width}) & {(1 << width) - 1} as int)")
-    index = entries.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), part("code", s).alias("value")) for s in range(segments)])).alias("p"))
-    index = index.select(F.col("p.seg").alias("seg"), F.col("p.value").alias("value"), "code", "ids")
+    index = entries.selectExpr("code", "ids", f"explode(sequence(0, {segments - 1})) as seg")
+    index = index.withColumn("value", F.expr(f"cast(shiftrightunsigned(code, seg * {width}) & {(1 << width) - 1} as int)"))
     open_ = asked.select(F.col("code").alias("q")).distinct()
-    segs = F.broadcast(spark.range(0, segments, 1, 1).selectExpr("cast(id as int) as seg"))
     value = F.expr(f"cast((shiftrightunsigned(q, seg * {width}) & {(1 << width) - 1}) ^ mask as int)")
-    far = F.expr("cast(bit_count(q ^ code) as int)")
-    of_seg = [F.expr(f"cast(bit_count(shiftrightunsigned(q ^ code, {s * width}) & {(1 << width) - 1}) as int)") for s in range(segments)]
-    nearest = F.least(*of_seg) if segments > 1 else of_seg[0]
-    first = F.coalesce(*[F.when(d == nearest, F.lit(s)) for s, d in enumerate(of_seg)])
+    far = "cast(bit_count(q ^ code) as int)"
+    of_seg = [f"bit_count(shiftrightunsigned(q ^ code, {s * width}) & {(1 << width) - 1})" for s in range(segments)]
+    # the probe's segment is the first of the nearest: none before it is as near, none after it nearer
+    first = " and ".join(f"if(seg > {s}, {d} > near, {d} >= near)" for s, d in enumerate(of_seg))
     done: list[DataFrame] = []
     covered, found = -1, None
     for r in [*range(width // 2), width]:
-        masks = F.broadcast(spark.range(0, 1 << width, 1, 1).selectExpr("cast(id as int) as mask").filter(F.expr(f"bit_count(mask) <= {r}")))
-        probes = open_.crossJoin(segs).crossJoin(masks).withColumn("value", value).withColumn("near", F.expr("cast(bit_count(mask) as int)")).drop("mask")
-        shell = (far > covered) & (far <= segments * (r + 1) - 1)
-        hits = probes.join(index, ["seg", "value"]).filter(shell & (F.col("near") == nearest) & (first == F.col("seg")))
-        hits = hits.select("q", F.explode("ids").alias("id"), far.alias("distance"))
+        masks = F.expr(f"explode(filter(sequence(0, {(1 << width) - 1}), m -> bit_count(m) <= {r}))")
+        probes = open_.withColumn("seg", F.expr(f"explode(sequence(0, {segments - 1}))")).withColumn("mask", masks).withColumn("value", value).withColumn("near", F.expr("cast(bit_count(mask) as int)")).drop("mask")
+        shell = f"{far} > {covered} and {far} <= {segments * (r + 1) - 1}"
+        hits = probes.join(index, ["seg", "value"]).filter(f"{shell} and {first}").selectExpr("q", "explode(ids) as id", f"{far} as distance")
         best = hits if found is None else found.unionByName(hits)
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
         found, _ = saved(best.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"))

@@ -28,7 +28,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding"), 64).alias("code"))
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding", 64).alias("code"))
     return hamming.top_k(codes.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), codes)
 
 

@@ -29,7 +29,7 @@ def test_top_k(spark):
 
 def test_codes(spark):
     vectors = [([1.0] * 64,), ([-1.0] * 63 + [2.0],), ([0.0] * 64,), ([1.0] * 3,), (None,)]
-    df = spark.createDataFrame(vectors, "v array<float>").select(hamming.sign_code(F.col("v"), 64))
+    df = spark.createDataFrame(vectors, "v array<float>").select(hamming.sign_code("v", 64))
     assert [r[0] for r in df.collect()] == [-1, -(1 << 63), 0, None, None]
 
 
