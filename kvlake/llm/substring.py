@@ -108,9 +108,12 @@ def _anchors(docs: DataFrame, half: int, length: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, h) whose h occurs again, with the first place of it."""
+    """Rows (doc_id, start, h) whose h occurs again, with the first place of it.
+
+    The first places are saved before the join: both of its sides are then plain shuffles, and a hash with very many rows can be split over tasks.
+    """
     place = F.struct("doc_id", "start")
-    again = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again, _ = saved(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     return rows.join(again, "h")
 
 
