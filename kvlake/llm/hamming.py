@@ -14,7 +14,7 @@ once, from the first of its nearest segments.
 
 Ties go to the smaller id. Null or empty vectors, and vectors of a length
 other than most, have no code: they are neither queries nor answers. Repeated
-rows are answers of their own. An empty table gives an empty result.
+rows are answers of their own. Rows without an id are no answers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, seg
     """
     width = bits // segments
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries, _ = saved(codes.filter("code is not null").withColumn("n", nth).filter(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    entries, _ = saved(codes.filter("code is not null and id is not null").withColumn("n", nth).filter(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     asked, _ = saved(queries.filter("code is not null").select("query_id", "code"))
     index = entries.selectExpr("code", "ids", f"explode(sequence(0, {segments - 1})) as seg")
     index = index.withColumn("value", F.expr(f"cast(shiftrightunsigned(code, seg * {width}) & {(1 << width) - 1} as int)"))

@@ -23,7 +23,8 @@
 Null texts and texts without words have an empty set and link with nothing.
 Texts with fewer words than ``words`` have one shingle, the whole sequence.
 Rows with a repeated id are the same document: their sets are joined with
-component and id like any other rows. An empty table gives an empty result.
+component and id like any other rows. Rows without an id link with nothing,
+have no component and are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -414,7 +415,7 @@ def near_duplicates(
     num, den = similarity
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     rows, rows_path = saved(describe(docs, words, doc_id, text))
-    by_set = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    by_set = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = rows.filter("n_shingles > 0").join(by_set, ["d1", "d2"]).filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
     classes, classes_path = saved(_with_low(reps))
     links, paths = candidate_links(classes, num / den, trees, node, depth, parts)
@@ -456,7 +457,8 @@ def near_duplicates(
     reps_of = by_set.join(final, by_set["rep"] == final["doc_id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("sketch").join(reps_of, ["d1", "d2"], "left")
     component: Column = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", kept)
 
 
 def _with_low(reps: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ Counts are aggregated before they are shuffled and joined back on the window's
 hash, so a passage that many texts share is no single task's work.
 
 Null texts have no words. Rows that repeat an id count as one document: the
-same window at the same place of two of them is no repeat. An empty table
-gives an empty result.
+same window at the same place of two of them is no repeat. Rows without an id
+are left whole, and are no other text's earlier copy. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -195,7 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows, _ = saved(_described(source))
-    firsts = rows.filter(F.col("n_words") >= length).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    firsts = rows.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     firsts, _ = saved(firsts)
     half = max(1, length // 2)
     own = source.join(firsts.select("doc_id"), "doc_id", "left_semi")
@@ -215,7 +216,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", te
     remove(spark, later_path)
     release(spark)
     out = rows.join(firsts.withColumn("own", F.lit(True)), ["doc_id", "d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left")
-    whole = F.col("own").isNull() & (F.col("n_words") >= length)
+    whole = F.col("own").isNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= length)
     removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("sha_left", "sha"))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"))

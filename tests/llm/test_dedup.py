@@ -125,3 +125,10 @@ def test_levels_double_until_none_survives(spark):
     source = df.select("doc_id", "text")
     levels = substring.repeated_lengths(source, substring._repeated(substring._extended(source, starts, 0, 20)).select("doc_id", "start"), 20)
     assert levels == [(20, 160), (40, 122), (80, 42), (160, 0)]
+
+
+def test_rows_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text), (None, text), (5, text), (7, text)], "doc_id long, text string")
+    assert result(near_dup.near_duplicates(df), *NEAR) == Counter({(None, 26, None, True): 2, (5, 26, 5, True): 1, (7, 26, 5, False): 1})
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring.remove_repeats(df).collect()) == [(0, 0), (0, 0), (5, 0), (7, 30)]
