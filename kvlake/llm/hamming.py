@@ -1,26 +1,28 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of ``bits`` bits is cut into ``segments``. By the pigeonhole principle two codes
-within a Hamming distance of segments * (r + 1) - 1 agree in some segment up to r bits. So
-round r looks up, in the index of each segment, all values at a distance of
-at most r from the query's, and verifies what it finds; of these it keeps the distances that this
-round covers and the one before did not. A query is done when k answers are
-covered; the others grow their radius. At half the segment's width a round
-looks up every value, which covers all. The result is exact.
-
-Equal codes are one entry of the index, with their k smallest ids: no query
-can use more of them. Equal query codes are searched once. A pair comes out
-once, from the first of its nearest segments.
-
-Ties go to the smaller id. Null or empty vectors, and vectors of a length
-other than most, have no code: they are neither queries nor answers. Repeated
-rows are answers of their own. Rows without an id are no answers. An empty table gives an empty result.
+A code of ``bits`` bits is cut into ``segments``, each with an index from value to
+codes. If all segments before the a-th have been searched up to radius r and the
+others up to r - 1, every code within a distance of segments * r + a - 1 is known
+by the pigeonhole principle. So a query searches one segment at one more bit
+at a time, verifies the full distance of what it finds, and stops once k
+verified distances are covered. The result is exact.
+
+Codes and queries are dealt by hash into blocks of bounded size, and every pair of
+blocks is searched by itself: a pair gives out at most k answers a query,
+however close the codes lie, and the answers of all blocks are merged by one
+more top-k. Equal query codes are searched once, and of equal codes only the k
+smallest ids take part, which no query can exceed.
+
+Ties go to the smaller id. Null or short vectors have no code: they are
+neither queries nor answers. Rows without an id are no answers. Repeated rows
+are answers of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,41 +35,70 @@ def sign_code(vector: str, bits: int) -> Column:
     return F.expr(f"if(size({vector}) >= {bits}, {set_bits}, null)")
 
 
-def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, segments: int = 8) -> DataFrame:
+class Index:
+    """The codes of a block, listed by the value of each segment."""
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray, bits: int, segments: int):
+        self.codes, self.ids, self.segments, self.width = codes, ids, segments, bits // segments
+        self.size = 1 << self.width
+        self.values = [self._part(codes, s) for s in range(segments)]
+        self.order = [np.argsort(v, kind="stable") for v in self.values]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(v, minlength=self.size))]) for v in self.values]
+        weight = np.bitwise_count(np.arange(self.size, dtype=np.uint64))
+        self.masks = [np.flatnonzero(weight == r) for r in range(self.width + 1)]
+
+    def _part(self, code, s: int):
+        return ((code >> np.uint64(s * self.width)) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def search(self, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest codes, or of all if there are fewer."""
+        far = np.full(len(self.codes), 255, np.uint8)
+        seen = np.zeros(256, np.int64)  # verified codes by distance
+        for r in range(self.width + 1):
+            for s in range(self.segments):
+                near = int(self._part(code, s)) ^ self.masks[r]
+                found = np.concatenate([self.order[s][self.starts[s][v] : self.starts[s][v + 1]] for v in near])
+                found = found[far[found] == 255]
+                if len(found):
+                    d = np.bitwise_count(self.codes[found] ^ code)
+                    far[found] = d
+                    seen += np.bincount(d, minlength=256)
+                covered = self.segments * r + s
+                if seen[: covered + 1].sum() >= k:
+                    break
+            else:
+                continue
+            break
+        kth = np.searchsorted(np.cumsum(seen), min(k, seen.sum()))
+        best = np.flatnonzero(far <= min(kth, 254))
+        best = best[np.lexsort((self.ids[best], far[best]))][:k]
+        return self.ids[best], far[best].astype(np.int32)
+
+
+def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, segments: int = 8, code_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """query_id, rank (from 1), id and distance of the k nearest codes of each query.
 
     queries: (query_id, code); codes: (id, code). Rows without a code are left out.
     """
-    width = bits // segments
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries, _ = saved(codes.filter("code is not null and id is not null").withColumn("n", nth).filter(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    entries, _ = saved(codes.filter("code is not null and id is not null").withColumn("n", nth).filter(F.col("n") <= k).select("id", "code"))
     asked, _ = saved(queries.filter("code is not null").select("query_id", "code"))
-    index = entries.selectExpr("code", "ids", f"explode(sequence(0, {segments - 1})) as seg")
-    index = index.withColumn("value", F.expr(f"cast(shiftrightunsigned(code, seg * {width}) & {(1 << width) - 1} as int)"))
-    open_ = asked.select(F.col("code").alias("q")).distinct()
-    value = F.expr(f"cast((shiftrightunsigned(q, seg * {width}) & {(1 << width) - 1}) ^ mask as int)")
-    far = "cast(bit_count(q ^ code) as int)"
-    of_seg = [f"bit_count(shiftrightunsigned(q ^ code, {s * width}) & {(1 << width) - 1})" for s in range(segments)]
-    # the probe's segment is the first of the nearest: none before it is as near, none after it nearer
-    first = " and ".join(f"if(seg > {s}, {d} > near, {d} >= near)" for s, d in enumerate(of_seg))
-    done: list[DataFrame] = []
-    covered, found = -1, None
-    for r in [*range(width // 2), width]:
-        masks = F.expr(f"explode(filter(sequence(0, {(1 << width) - 1}), m -> bit_count(m) <= {r}))")
-        probes = open_.withColumn("seg", F.expr(f"explode(sequence(0, {segments - 1}))")).withColumn("mask", masks).withColumn("value", value).withColumn("near", F.expr("cast(bit_count(mask) as int)")).drop("mask")
-        shell = f"{far} > {covered} and {far} <= {segments * (r + 1) - 1}"
-        hits = probes.join(index, ["seg", "value"]).filter(f"{shell} and {first}").selectExpr("q", "explode(ids) as id", f"{far} as distance")
-        best = hits if found is None else found.unionByName(hits)
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-        found, _ = saved(best.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"))
-        covered = segments * (r + 1) - 1
-        closed = found.groupBy("q").agg(F.count("*").alias("n")).filter((F.col("n") >= k) | F.lit(r == width)).select("q")
-        done.append(found.join(closed, "q", "left_semi"))
-        open_, _ = saved(open_.join(closed, "q", "left_anti"))
-        if r == width or open_.isEmpty():
-            break
-        found = found.join(open_, "q", "left_semi")
-    result = reduce(DataFrame.unionByName, done)
-    order = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id")).cast("int")
-    ranked = result.withColumn("rank", order)
-    return asked.join(ranked, asked["code"] == ranked["q"]).select("query_id", "rank", "id", "distance")
+    distinct = asked.select(F.col("code").alias("q")).distinct()
+    n_codes, n_queries = -(-entries.count() // code_block) or 1, -(-distinct.count() // query_block) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(n)).cast("int")
+    rows = entries.withColumn("cb", block("id", n_codes)).withColumn("qb", F.expr(f"explode(sequence(0, {n_queries - 1}))"))
+    probes = distinct.withColumn("qb", block("q", n_queries)).withColumn("cb", F.expr(f"explode(sequence(0, {n_codes - 1}))"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["q", "id", "distance"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names}).astype({"q": "int64", "id": "int64", "distance": "int32"})
+        index = Index(right["code"].to_numpy().view(np.uint64), right["id"].to_numpy(), bits, segments)
+        parts = [(q, *index.search(np.uint64(q & 0xFFFFFFFFFFFFFFFF), k)) for q in left["q"].tolist()]
+        q = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
+        return pd.DataFrame({"q": q, "id": np.concatenate([p[1] for p in parts]), "distance": np.concatenate([p[2] for p in parts])})
+
+    found = probes.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInPandas(run, "q long, id long, distance int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    best = found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    return asked.join(best, asked["code"] == best["q"]).select("query_id", "rank", "id", "distance")

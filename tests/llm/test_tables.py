@@ -17,7 +17,7 @@ def test_top_k(spark):
     codes = [(i, r.getrandbits(64) - (1 << 63)) for i in range(60)] + [(100 + i, 5) for i in range(15)] + [(200, None), (201, 4)]
     asked = [c for c in codes if c[0] % 20 == 0]
     got = defaultdict(list)
-    for x in hamming.top_k(spark.createDataFrame(asked, "query_id long, code long"), spark.createDataFrame(codes, "id long, code long"), k=5).orderBy("query_id", "rank").collect():
+    for x in hamming.top_k(spark.createDataFrame(asked, "query_id long, code long"), spark.createDataFrame(codes, "id long, code long"), k=5, code_block=20, query_block=2).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["distance"], x["id"]))
     for q, code in asked:
         want = sorted(((code ^ c) & (1 << 64) - 1).bit_count() * 1000 + i for i, c in codes if c is not None)[:5] if code is not None else []
