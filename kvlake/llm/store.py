@@ -1,40 +1,20 @@
-"""Intermediate tables in the folder that all nodes of a cluster share."""
+"""Intermediate tables of the operators, and their removal."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from kvlake.sources.store import Files, saved
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests), one of our own, which is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="kvlake-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-def saved(df: DataFrame, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kvlake-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+__all__ = ["release", "remove", "saved"]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete saved tables that no DataFrame reads any more."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        Files(spark).delete(path)
 
 
 def release(spark: SparkSession) -> None:
