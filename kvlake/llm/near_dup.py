@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.store import release, remove, saved
+from kvlake.llm.store import release, remove, saved, small_batches
 from kvlake.llm.words import BLOCK_BYTES, Words, blocks, digest, mix, scan, windows
 
 SKETCH = 128
@@ -412,6 +412,7 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     num, den = similarity
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     rows, rows_path = saved(describe(docs, words, doc_id, text))

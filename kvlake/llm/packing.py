@@ -36,7 +36,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.store import saved
+from kvlake.llm.store import saved, small_batches
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,6 +211,7 @@ def pack_lengths(lengths: list[int], cap: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, shard_items: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all docs with sequence_id and gapless offset."""
+    small_batches(docs.sparkSession)
     cut, _ = saved(pieces(docs, tokenizer, length, end_id, doc_id, text))
     short = cut.filter(F.col("length") < length).count()
     shards = max(1, -(-short // shard_items))

@@ -8,7 +8,18 @@ from pyspark.sql import SparkSession
 
 from kvlake.sources.store import Files, saved
 
-__all__ = ["release", "remove", "saved"]
+__all__ = ["release", "remove", "saved", "small_batches"]
+
+#: Bytes of an Arrow batch, so that a Python worker's memory follows from this and not from the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's Python stages by bytes, unless the session bounds them lower."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.store import release, remove, saved
+from kvlake.llm.store import release, remove, saved, small_batches
 from kvlake.llm.words import Words, blocks, digest, scan, windows
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -194,6 +194,7 @@ def _removed(docs: DataFrame, repeats: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows, _ = saved(_described(source))
     firsts = rows.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.llm.store import small_batches
 from kvlake.llm.words import blocks, mix, scan
 
 WINDOW, STRIDE = 32, 24
@@ -264,6 +265,7 @@ def held_out(doc_id: Column) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 2000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with columns held_out, score and predicted; labels: doc_id, toxic."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts, y = training_rows(docs, labels, max_train, ~held_out(F.col("doc_id")), doc_id, text)
     model = None
     if len(set(y)) == 2:
