@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, and the same queries as DuckDB SQL.
 
-The op log is derived from ``events`` (oplog.from_events): run = 1,000 sequences, batch = 128. Levels of the compaction queries are
-thirds of the runs. Parameters are stated once, below.
+The op log is derived from ``events`` (oplog.from_events): run = 1,000 sequences, batch = 128. kv_compact_level0 takes the newest
+third of the table's runs as level 0. The other compaction queries have the fixed levels of ``LEVEL``, and kv_compact_l0 the fixed
+runs of its SQL (0 to 3 over 4 to 6), however many runs there are. Parameters are stated once, below.
 """
 
 from __future__ import annotations
@@ -216,6 +217,19 @@ def kv_compact_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compact_over(runs.filter("run <= 3"), deeper).select("k", "seq", "op", "v")
 
 
+@query(f"""WITH {LOG}, {RUNS}, aged AS (SELECT *, row_number() OVER (ORDER BY run DESC) - 1 AS age, count(*) OVER () AS runs FROM meta),
+deeper AS (SELECT * FROM aged WHERE 3 * age >= runs),
+m AS (SELECT * FROM (SELECT k, seq, op, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM dedup WHERE run NOT IN (SELECT run FROM deeper)) WHERE rn = 1)
+SELECT k, seq, op, v FROM m WHERE op = 1 OR EXISTS (SELECT 1 FROM deeper d WHERE m.k BETWEEN d.min_key AND d.max_key)""")
+def kv_compact_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of level 0, the newest third of the table's runs, compacted over the zone maps of all older runs."""
+    runs = _dedup(spark, sf_dir)
+    aged = snapshot.numbered(zonemap.run_meta(runs), F.col("run").desc(), into="nth")
+    level0 = 3 * (F.col("nth") - 1) < F.lit(aged.count())
+    newest = runs.join(F.broadcast(aged.filter(level0).select("run")), "run", "left_semi")
+    return compaction.compact_over(newest, aged.filter(~level0)).select("k", "seq", "op", "v")
+
+
 TABLES = f"tables AS (SELECT run AS id, min_key, max_key, keys, bytes, CAST({LEVEL} AS INTEGER) AS lvl FROM meta)"
 
 

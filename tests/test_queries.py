@@ -1,6 +1,8 @@
 """Every query that SQL can express against DuckDB, on the smallest tables."""
 
+import datetime
 import os
+import random
 
 import duckdb
 import pytest
@@ -28,3 +30,28 @@ def test_query(spark, db, name):
     assert sorted(at) == names
     want = sorted(repr(tuple(r[at.index(n)] for n in names)) for r in found.fetchall())
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("count", [1, 7, 13])
+def test_all_of_level_0_is_compacted(spark, tmp_path, count):
+    """The newest third of the runs, against plain Python; keys beyond the older runs' ranges lose their tombstones."""
+    r = random.Random(count)
+    at = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(count * 1000):
+        user = r.randrange(900) if i // 1000 < count // 2 else r.randrange(300, 1200)
+        rows.append((i, at, user, r.choice(["error", "view", "click"]), 1.0, f"p{i}"))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    first = count - -(-count // 3)
+    ranges, newest = [], {}
+    for n in range(first):
+        users = [f"u{x[2]:07d}" for x in rows[n * 1000 : (n + 1) * 1000]]
+        ranges.append((min(users), max(users)))
+    for i, _, user, kind, _, props in rows[first * 1000 :]:
+        newest[f"u{user:07d}"] = (i + 1, 2, None) if kind == "error" else (i + 1, 1, f"{kind}|{props}")
+    want = sorted((k, *x) for k, x in newest.items() if x[1] == 1 or any(a <= k <= b for a, b in ranges))
+    got = sorted(tuple(x) for x in queries.QUERIES["kv_compact_level0"](spark, str(tmp_path)).select("k", "seq", "op", "v").collect())
+    assert got == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(con.execute(queries.ORACLES["kv_compact_level0"]).fetchall()) == want
