@@ -1,22 +1,30 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans (email, ip, card, phone) are found by fixed patterns, checked, and
-always kept. Further candidates are tokens of eight or more letters, digits
-and underscores with a digit among them, outside base spans: keys, passwords,
-account numbers. Labelers vote on each candidate:
-
-- regex: shapes of keys and hex strings (yes), words with a short number (no);
+always kept. Further candidates are keys, passwords and account numbers outside
+base spans (one that meets a base span is left to it): tokens of eight or more
+letters, digits and underscores with a digit among them, and, of any length,
+what follows a gazetteer word (a quoted string, grouped digits or letters, or a
+run without spaces) or an assignment (a run without spaces). Labelers vote on
+each candidate:
+
+- regex: shapes of keys and hex strings (yes), words with a short number, plain words and short numbers (no);
 - gazetteer: a word for a credential or account shortly before it (yes);
 - context: an assignment right before it (yes), running words (no);
 - mixture: the share of digits;
 - extent: the length.
 
+After a gazetteer word a value may be short or of letters only, so there the
+votes against such shapes are withheld: all of them if the value is assigned,
+those of regex, context and extent if it has a digit.
+
 Votes of all candidates are counted by pattern (a few hundred rows at most).
 Expectation-maximisation over these counts estimates each labeler's
 reliability for both classes. Its posteriors train the final span classifier, a logistic
 regression over vote and shape features, which is applied as one SQL
 expression. Candidates it accepts are added as kind ``secret``, or ``number``
-where they have digits only.
+where they have digits (and separators of groups) only; a token that meets an
+accepted longer candidate is left to that one.
 
 Null texts count as empty; other columns stay as they are (one that has the
 name of the output column is replaced). Repeated rows are treated alike. An empty table trains nothing
@@ -45,8 +53,21 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EXTRA = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{8,}+"
 #: Gazetteer: words for what follows them.
 GAZETTEER = ("password", "passwd", "token", "secret", "apikey", "api_key", "key", "iban", "ssn", "account", "konto", "cuenta", "compte", "contraseña", "passwort")
+_WORDS = "(?:" + "|".join(sorted(GAZETTEER, key=len, reverse=True)) + ")"
+_LINK = r"(?:\s(?:is|was|no\.?|nr\.?|number|ist|es|est))?+"
+#: A run without spaces; marks at its end belong to the sentence.
+_MARKS = r".,;:)\]}>\x22'\x60"
+_RUN = rf"(?:[^\s\p{{Z}}{_MARKS}]++|[{_MARKS}]++(?=[^\s\p{{Z}}]))++"
+_GROUPS = r"(?:[0-9]++(?:[\x20./-][0-9]++)++|[A-Z]{2}[0-9]{2}(?:[\x20-](?:[A-Z]{4}[\x20-])?+(?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4}+)++)" + rf"(?=[{_MARKS}]*+(?:[\s\p{{Z}}]|\z))"
+_ASSIGN = r"(?:=|(?<![0-9]):)[=:]*+>?+"
+#: What follows a gazetteer word (groups 1 and 2: before, value) or an assignment (3 and 4).
+_FOLLOWS = (
+    rf"(?iu)((?<![\p{{L}}\p{{N}}]){_WORDS}[\x22']?+{_LINK}(?:[\x20\t]{{0,4}}+{_ASSIGN}[\x20\t]{{0,4}}+|[\x20\t]{{1,4}}+)[\x22']?)"
+    rf"((?<=\x22)[^\x22\r\n]++(?=\x22)|(?<=')[^'\r\n]++(?=')|{_GROUPS}|{_RUN})"
+    rf"|({_ASSIGN}[\x20\t]{{0,4}}+[\x22']?+)(?![a-z]*+:?//)({_RUN})"
+)
 _A, _B = "\u0001", "\u0002"
-_CONTEXT = 24
+_CONTEXT = 40
 
 
 def _clean(text: Column) -> Column:
@@ -55,9 +76,9 @@ def _clean(text: Column) -> Column:
     return F.when(t.contains(_A) | t.contains(_B), F.translate(t, _A + _B, "??")).otherwise(t)
 
 
-def _matches(t: Column, pattern: str, possible: Column) -> Column:
+def _matches(t: Column, pattern: str, possible: Column, marked: str = f"{_A}$0{_B}") -> Column:
     """array<struct<start, end, match, before>> of leftmost non-overlapping matches; code points, end exclusive."""
-    parts = F.split(F.regexp_replace(t, F.lit(pattern), F.lit(f"{_A}$0{_B}")), _A, -1)
+    parts = F.split(F.regexp_replace(t, F.lit(pattern), F.lit(marked)), _A, -1)
     item = "struct<start:bigint,end:bigint,match:string,before:string>"
     none = F.array().cast(f"array<{item}>")
 
@@ -123,10 +144,13 @@ def _with_matches(docs: DataFrame, text: str) -> DataFrame:
     df = _once(docs, __digits=F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
     possible = {"email": t.contains("@"), "ip": F.col("__digits"), "card": F.col("__digits"), "phone": F.col("__digits") & t.contains("+")}
     found = {f"__{k}": _checked(k, _matches(t, _PATTERNS[k], possible[k])) for k in KINDS}
-    df = _once(df, **found, __extra=_matches(t, _EXTRA, F.col("__digits")))
+    anchored = t.contains("=") | t.contains(":") | t.rlike(f"(?iu){_WORDS}")
+    df = _once(df, **found, __extra=_matches(t, _EXTRA, F.col("__digits")), __follows=_matches(t, _FOLLOWS, anchored, f"$1$3{_A}$2$4{_B}"))
     df = _once(df, __base=F.array_sort(F.concat(*[_numbered(n, F.col(f"__{k}")) for n, k in enumerate(KINDS)])))
     free = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return _once(df, __extra=F.filter("__extra", free)).drop("__digits", *[f"__{k}" for k in KINDS])
+    alone = lambda x: ~F.exists("__follows", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
+    each = F.concat(F.transform("__follows", lambda x: x.withField("follows", F.lit(True))), F.transform(F.filter("__extra", alone), lambda x: x.withField("follows", F.lit(False))))
+    return _once(df, __extra=F.filter(each, free)).drop("__digits", "__follows", *[f"__{k}" for k in KINDS])
 
 
 #: Features of a candidate (match, before): votes are 1 (yes), 0 (no) or -1 (abstains); shapes are small numbers.
@@ -138,12 +162,17 @@ def _features(x: Column) -> dict[str, Column]:
     m, before = x["match"], F.lower(x["before"])
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     yes, no, none = F.lit(1), F.lit(0), F.lit(-1)
+    named = before.rlike(rf"(?:{_WORDS}[\"']?{_LINK}\W{{0,12}}|{_WORDS}\W{{0,4}})$")
+    assigned = before.rlike(r"[=:]>?\s{0,4}[\"']?$")
+    told, given = named & (assigned | (digits > 0)), named & assigned
     return {
-        "regex": F.when(m.rlike("^(?:[0-9a-f]{16,}|[A-Z]{4}[A-Z0-9]{12,}|[0-9]{10,})$"), yes).when(m.rlike("^[A-Za-z]{5,}_?[0-9]{1,3}$"), no).otherwise(none),
-        "gazetteer": F.when(before.rlike("(?:" + "|".join(GAZETTEER) + r")\W{0,4}$"), yes).otherwise(none),
-        "context": F.when(before.rlike(r"[=:]\s?[\"']?$"), yes).when(before.rlike(r"[a-z,] $"), no).otherwise(none),
-        "mixture": F.when(digits * 5 >= F.length(m), yes).otherwise(no),
-        "extent": F.when(F.length(m) >= 16, yes).when(F.length(m) < 12, no).otherwise(none),
+        "regex": F.when(m.rlike("^(?:[0-9a-f]{16,}|[A-Z]{4}[A-Z0-9]{12,}|[0-9]{10,})$"), yes)
+        .when(~told & m.rlike(r"^(?:[A-Za-z]{5,}_?[0-9]{1,3}|\p{L}+|[0-9.,:/%-]{1,7})$"), no)
+        .otherwise(none),
+        "gazetteer": F.when(named, yes).otherwise(none),
+        "context": F.when(assigned & (named | (F.length(m) >= 8)), yes).when(~told & before.rlike(r"[a-z,] $"), no).otherwise(none),
+        "mixture": F.when(digits * 5 >= F.length(m), yes).when(given, none).otherwise(no),
+        "extent": F.when(F.length(m) >= 16, yes).when(~told & (F.length(m) < 12), no).otherwise(none),
         "length": F.least(F.expr("4"), F.floor(F.length(m) / 8)).cast("int"),
         "upper": m.rlike("[A-Z]").cast("int"),
         "letters": m.rlike("[A-Za-z]").cast("int"),
@@ -226,9 +255,11 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
     weights = train(sorted((r.asDict() for r in counted.collect()), key=lambda r: sorted(r.items())))
     df = _with_matches(docs, text)
     kind = F.create_map(*[x for n, k in enumerate((*KINDS, "secret", "number")) for x in (F.lit(n), F.lit(k))])
+    df = _once(df, __extra=F.filter("__extra", lambda x: _score(x, weights) >= 0))
+    whole = lambda x: x["follows"] | ~F.exists("__extra", lambda y: y["follows"] & (y["start"] < x["end"]) & (x["start"] < y["end"]))
     more = F.transform(
-        F.filter("__extra", lambda x: _score(x, weights) >= 0),
-        lambda x: F.struct(x["start"].alias("start"), F.when(x["match"].rlike("^[0-9]+$"), 5).otherwise(4).alias("nth"), x["end"].alias("end")),
+        F.filter("__extra", whole),
+        lambda x: F.struct(x["start"].alias("start"), F.when(x["match"].rlike(r"^[0-9]++(?:[\x20./-][0-9]++)*+$"), 5).otherwise(4).alias("nth"), x["end"].alias("end")),
     )
     spans = F.transform(F.array_sort(F.concat("__base", more)), lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["end"].alias("end"), kind[s["nth"]].alias("kind")))
     return _once(df, **{into: spans}).drop("__base", "__extra")

@@ -58,6 +58,36 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "é [EMAIL] and [IP]!", 2: None, 3: "clean"}
 
 
+WRITTEN = [  # text before, secret, text after
+    ("ssn ", "123-45-6789", " end"), ("IBAN: ", "DE89 3704 0044 0532 0130 00", " of the bank"), ("password: ", "hunter2", ", he said"),
+    ("password=", "correct-horse-battery", "."), ("token = ", "sk-ab12-cd34-ef56", ""), ("account ", "12-34-56 1234567", " at a branch"),
+    ("key = ", "dGhpcyBpcw+/aGVsbG8x==", " end"), ('"passwort": "', "drei kleine worte", '", more'), ("my password is ", "pa$$w0rd!x", " today"),
+]
+PLAIN = [
+    "the key point of that", "my account manager called", "a password reset helps", "Note: this is prose", "Total: 12", "at 12:30 we met", "see http://a.example/b",
+    "page = 3", "Chapter: 5", "monkey business", "turkey 3 and word12345", "ratio: 0.5", "Author: Shakespeare", "a token of love", "secret garden walks",
+]
+
+
+def test_secrets_as_usually_written(spark):
+    r = random.Random(3)
+    filler = lambda: " ".join(r.choice(["the", "of", "and", "river", "stone", "walk"]) for _ in range(6)) + " "
+    made = [(a, b, c) for a, b, c in WRITTEN for _ in range(6)]
+    rows = [(i, *((filler() + a, b, c))) for i, (a, b, c) in enumerate(made)] + [(1000 + i, filler() + t, "", "") for i, t in enumerate(PLAIN * 12)]
+    df = spark.createDataFrame([(i, a + b + c) for i, a, b, c in rows], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii"]] for r in pii.find_pii(df).collect()}
+    for i, a, b, c in rows:
+        assert got[i] == ([(len(a), len(a) + len(b))] if b else []), a + b + c
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(b not in redacted[i] for i, _, b, _ in rows if b)
+
+
+def test_long_runs_after_assignments(spark):
+    long = ["password=" + "a." * 30000 + "z", "k=" * 2000, 'token="' * 2000, "key " * 2000, "account 1" + " 1" * 30000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    assert len([r for r in pii.find_pii(df).collect() if r["pii"] is not None]) == len(long)
+
+
 def test_em_finds_the_reliable_labelers():
     r = random.Random(1)
     votes = Counter()
