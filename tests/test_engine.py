@@ -171,3 +171,17 @@ def test_catalog_file(spark, tmp_path):
     assert Catalog(Files(spark), str(path)).open().tables.keys() == again.tables.keys()
     with pytest.raises(Corrupt):
         parse(b'{"op": 2, "table": {"id": 1}}\n{not-json}\n' + whole)
+
+
+def test_compacts_until_no_level_is_over_its_target(spark, tmp_path):
+    def table(n):
+        key = text_of(f"k{n:04d}".encode())
+        return {"ver": 1, "id": n, "lvl": 1, "path": f"none/{n}", "ts": "2024-01-01T00:00:00+00:00", "minKey": key, "maxKey": key, "keys": 1, "sizeBytes": 200 * MIB}
+
+    with Engine(spark, str(tmp_path / "db")) as e:
+        e.catalog.edit([{"op": ADD, "table": table(n)} for n in range(1, 121)])
+        assert len(e.compact()) > 100  # disjoint tables: only moves
+        assert compaction.pick(e.catalog.version.plan_tables(), e.options) is None
+        goal = compaction.level_targets(0, e.options)
+        sizes = {n: sum(t["sizeBytes"] for t in e.catalog.version.level(n)) for n in (1, 2, 3)}
+        assert all(sizes[n] <= goal[n] for n in sizes) and sum(sizes.values()) == 120 * 200 * MIB
