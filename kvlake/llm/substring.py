@@ -2,8 +2,10 @@
 
 A window is a run of words of one text. Windows repeated at one length are
 the only ones that can repeat at twice that length, so candidates are
-extended level by level: half the asked length, the asked length, then twice
-and so on, until no candidates survive.
+extended level by level. ``remove_repeats`` stops at the second level: half the
+asked length, then the asked length, whose windows alone decide which words are
+removed. The further levels (twice the length and so on, until no candidates
+survive or 2^20 words are reached) are ``repeated_lengths``, which no query calls.
 
 Level 1 does not need every start: of the starts of half-length windows inside
 any window of the asked length, the one with the least hash is marked
