@@ -3,12 +3,16 @@
 import datetime
 import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
 
 from kvlake import queries
 
+ROOT = Path(__file__).resolve().parents[1]
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -55,3 +59,11 @@ def test_all_of_level_0_is_compacted(spark, tmp_path, count):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(con.execute(queries.ORACLES["kv_compact_level0"]).fetchall()) == want
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "ahocorasick", "pyarrow", "corpus_pipeline", "kvlake.llm"])
+def test_engine_queries_need_no_other_package(missing):
+    """Whatever the training-data operators cannot import, the engine's queries stay."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    assert [int(out[0]), int(out[1])] == [len(queries.QUERIES), len(queries.ORACLES)]
