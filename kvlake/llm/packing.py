@@ -5,14 +5,19 @@ longer than a sequence, into pieces of ``length`` tokens; the first piece of a
 cut document may be shorter. Full pieces are sequences of their own. Shorter
 ones are dealt by hash into shards of about ``shard_items`` pieces, and each
 shard is packed by itself: best-fit decreasing first, then local search.
-While a shard has more bins than its tokens need, the emptiest bin gives to
-the fuller ones: it moves a document, or exchanges one for one, two for one or
-one for two, by the largest net shift that the other bin has room for. Every
-step raises the sum of squared fills, so the search ends; bins that come empty
-go. Each shard wastes less than it takes to fill one bin in practice, and
-shards do not grow with the input.
-
-Token ids are those of the byte-level BPE file given by its path. Texts split
+While a shard has more bins than its tokens need, underfull bins give to
+fuller ones, the emptiest first: a bin moves a document, or exchanges one for
+one, two for one or one for two, by the largest net shift that the other bin
+has room for. Every step raises the sum of squared fills, and the search ends
+only where no pair of underfull bins has such an exchange; bins that come empty
+go. Shards do not grow with the input. What a shard wastes beyond the lower
+bound (its tokens over the length of a sequence) is measured in the README:
+some bins where documents are long against a sequence, as no such exchange
+then fills bins to the brim.
+
+Token ids are those of the byte-level BPE file given by its path. A special
+token's string in a text is that token, and the text around it is encoded by
+itself. Texts split
 at single spaces and single line breaks between non-space characters into
 chunks whose ids do not depend on their surroundings, so chunk ids are cached
 (a bounded cache); texts with other white space at such places are encoded
@@ -25,6 +30,7 @@ own. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,13 +56,19 @@ def _byte_of() -> dict[str, int]:
 
 
 def load_encoding(path: str) -> tiktoken.Encoding:
-    """The encoder of a byte-level BPE tokenizer file (JSON); special tokens are left out, so their strings are ordinary text."""
+    """The encoder of a byte-level BPE tokenizer file (JSON), with its added tokens as special tokens."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    special = {t["content"] for t in file["added_tokens"]}
+    if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+#: Copies of one row that are numbered at once.
+COPIES = 4096
 
 
 class _Whole(Exception):
@@ -87,8 +99,16 @@ class CachedEncoder:
         self.encoding = load_encoding(path)
         self.first, self.later = _Chunks(self.encoding, ""), _Chunks(self.encoding, " ")
         self.line = array("I", self.encoding.encode_ordinary("\n")).tobytes()
+        names = sorted(self.encoding.special_tokens_set, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.names = {n: array("I", [self.encoding.encode_single_token(n)]).tobytes() for n in names}
 
     def __call__(self, text: str) -> bytes:
+        if self.special is None or not self.special.search(text):
+            return self._ordinary(text)
+        return b"".join(self.names.get(part) or self._ordinary(part) for part in self.special.split(text))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         first, later, lines = self.first, self.later, []
@@ -173,35 +193,47 @@ def _exchange(give: list[int], take: list[int], room: int) -> tuple[list[int], l
     return found
 
 
-def local_search(bins: list[list[int]], lengths: list[int], cap: int, sweeps: int = 500) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
     """Empty bins while there are more than the tokens need and some exchange raises the sum of squared fills."""
     need = max(-(-sum(lengths) // cap), sum(2 * n > cap for n in lengths))
     fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = len(bins)
-    for _ in range(sweeps):
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < cap), key=lambda b: fill[b])
-        if alive <= need or len(open_) < 2:
-            break
-        improved = False
-        for source in open_[:8]:
-            for b in reversed(open_):
-                if b == source or fill[b] < fill[source] or not fill[source] or fill[b] == cap:
-                    continue
-                if found := _exchange([lengths[i] for i in bins[source]], [lengths[i] for i in bins[b]], cap - fill[b]):
-                    for here, there, lens in ((source, b, found[0]), (b, source, found[1])):
-                        for n in lens:
-                            i = next(i for i in bins[here] if lengths[i] == n)
-                            bins[here].remove(i)
-                            bins[there].append(i)
-                            fill[here] -= n
-                            fill[there] += n
-                    improved = True
+    changed = [0] * len(bins)  # the step of each bin's last change
+    tried: dict[tuple[int, int], int] = {}  # pairs without an exchange, and when that was found
+    alive, step = len(bins), 0
+
+    def give(source: int) -> bool:
+        """Let a bin give to fuller ones; whether it could."""
+        nonlocal alive, step
+        gave = False
+        for b in sorted((b for b in range(len(bins)) if 0 < fill[b] < cap and b != source), key=lambda b: -fill[b]):
             if not fill[source]:
-                alive -= 1
-            if improved:
                 break
-        if not improved:
-            break
+            if fill[b] < fill[source] or fill[b] == cap or tried.get((source, b), -1) >= max(changed[source], changed[b]):
+                continue
+            found = _exchange([lengths[i] for i in bins[source]], [lengths[i] for i in bins[b]], cap - fill[b])
+            if not found:
+                tried[source, b] = step
+                continue
+            step += 1
+            for here, there, lens in ((source, b, found[0]), (b, source, found[1])):
+                for n in lens:
+                    i = next(i for i in bins[here] if lengths[i] == n)
+                    bins[here].remove(i)
+                    bins[there].append(i)
+                    fill[here] -= n
+                    fill[there] += n
+            changed[source] = changed[b] = step
+            gave = True
+        alive -= gave and not fill[source]
+        return gave
+
+    improved = True
+    while improved and alive > need:
+        improved = False
+        for source in sorted((b for b in range(len(bins)) if 0 < fill[b] < cap), key=lambda b: fill[b]):
+            if give(source):
+                improved = True
+                break
     return [b for b in bins if b]
 
 
@@ -217,6 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, s
     shards = max(1, -(-short // shard_items))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], ignore_index=True)
         n = rows["length"].to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         some = np.flatnonzero(n < length)
@@ -231,7 +264,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, s
         rows["offset"] = offset
         return rows.drop(columns="__shard")
 
-    # the row number keeps repeated rows apart; it follows from the saved files alone
-    salt = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
-    schema = cut.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    return cut.withColumn("__shard", salt.cast("long")).groupBy("__shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    # dealt by content and the number of the copy, so that the shards do not depend on the layout of files
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    copies = cut.groupBy(*names).agg(F.count("*").alias("__n"))
+    few = copies.filter(F.col("__n") <= COPIES).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    # a row with very many copies is dealt to tasks by runs of copies
+    runs = copies.filter(F.col("__n") > COPIES).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPIES}"))))
+    spread = runs.repartition("__run", *names).withColumn("__copy", F.explode(F.sequence(F.expr(f"__run * {COPIES} + 1"), F.least(F.expr(f"(__run + 1) * {COPIES}"), "__n"))))
+    each = few.unionByName(spread.drop("__run"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "__copy"), F.lit(shards))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return each.withColumn("__shard", salt.cast("long")).select(*names, "__shard").groupBy("__shard").applyInPandas(run, schema)

@@ -104,7 +104,6 @@ def test_packing(spark):
     df = documents(spark)
     out = packing.pack(df, queries.TOKENIZER, length=64, shard_items=40)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for i, text, *_ in rows():
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -121,15 +120,35 @@ def test_packing(spark):
     assert max(ends.values()) <= 64 and packing.pack(empty(spark), queries.TOKENIZER).count() == 0
 
 
-@pytest.mark.parametrize("text", [*[t for t in texts() if t], "<|endoftext|> it's we'll\n\nnew\r\nline ", " lead", "tail ", "a\u00a0 b", "x 's 12ab"])
+@pytest.mark.parametrize("text", [*[t for t in texts() if t], "<|endoftext|> it's we'll\n\nnew\r\nline ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "end <|endoftext|>", "<|endoftext| >\n<|endoftext|>\n", " lead", "tail ", "a\u00a0 b", "x 's 12ab"])
 def test_cached_ids_are_the_tokenizers(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encode = packing.CachedEncoder(queries.TOKENIZER)
     for _ in range(2):
         assert np.frombuffer(encode(text), np.uint32).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_follows_content_alone(spark):
+    """Other layouts of the input, and copies beyond one run of them, give the same sequences."""
+    df = documents(spark).select("doc_id", "text").union(spark.range(packing.COPIES + 5).selectExpr("7000 as doc_id", "'copy of it' as text"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    first, second = (Counter(map(tuple, packing.pack(x, queries.TOKENIZER, length=64, shard_items=1000).select(*names).collect())) for x in (df.coalesce(1), df.repartition(7)))
+    assert first == second and sum(n for r, n in first.items() if r[0] == 7000) == packing.COPIES + 5
+
+
+def test_local_search_ends_without_exchanges():
+    """No pair of underfull bins is left with an exchange that raises the squared fills."""
+    r = random.Random(7)
+    lengths = [r.randint(300, 700) for _ in range(160)]
+    bins = packing.pack_lengths(lengths, 1024)
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    if len(bins) > max(-(-sum(lengths) // 1024), sum(n > 512 for n in lengths)):
+        for a in range(len(bins)):
+            for b in range(len(bins)):
+                if a != b and fills[a] <= fills[b] < 1024:
+                    assert packing._exchange([lengths[i] for i in bins[a]], [lengths[i] for i in bins[b]], 1024 - fills[b]) is None
+
+
 def test_local_search_reaches_the_bound():
     r = random.Random(2)
     for top in (1023, 700, 300):
