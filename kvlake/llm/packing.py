@@ -5,12 +5,12 @@ longer than a sequence, into pieces of ``length`` tokens; the first piece of a
 cut document may be shorter. Full pieces are sequences of their own. Shorter
 ones are dealt by hash into shards of about ``shard_items`` pieces, and each
 shard is packed by itself: best-fit decreasing first, then local search.
-While a shard has more bins than its tokens need, underfull bins give to
-fuller ones, the emptiest first: a bin moves a document, or exchanges one for
-one, two for one or one for two, by the largest net shift that the other bin
+While a shard has more bins than its tokens need, underfull bins take from
+emptier ones, the fullest first: a document is moved, or one exchanged for
+one, two for one or one for two, by the largest net shift that the bin
 has room for. Every step raises the sum of squared fills, and the search ends
 only where no pair of underfull bins has such an exchange; bins that come empty
-go. Shards do not grow with the input. What a shard wastes beyond the lower
+go. What bins can give is indexed by length, so no pairs of bins are tried. Shards do not grow with the input. What a shard wastes beyond the lower
 bound (its tokens over the length of a sequence) is measured in the README:
 some bins where documents are long against a sequence, as no such exchange
 then fills bins to the brim.
@@ -34,6 +34,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -169,71 +170,115 @@ def best_fit(lengths: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """Lengths to give and to take back with the largest net shift in 1..room: one for none, one for one, two for one or one for two."""
-
-    def pairs(x: list[int]) -> list[tuple[int, int]]:
-        kinds = sorted(set(x))
-        return [(a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or x.count(a) > 1]
-
-    best, found = 0, None
-    ones, backs = sorted(set(give)), sorted(set(take))
-    two_out, two_in = pairs(give), pairs(take)
-    for outs, ins in (([(a,) for a in ones], [(), *[(b,) for b in backs]]), (two_out, [(b,) for b in backs]), ([(a,) for a in ones], two_in)):
-        if not outs or not ins:
-            continue
-        shift = np.array([sum(o) for o in outs])[:, None] - np.array([sum(i) for i in ins])[None, :]
-        shift[shift > room] = 0
-        at = int(shift.argmax())
-        if shift.flat[at] > best:
-            best = int(shift.flat[at])
-            found = list(outs[at // len(ins)]), list(ins[at % len(ins)])
-            if best == room:
-                break
-    return found
+class _Offers:
+    """What underfull bins can give by its length: one document, or two of one bin. Finds the least full bin for a length."""
+
+    def __init__(self, cap: int):
+        self.bits, self.heaps, self.stamp = [0, 0], ([[] for _ in range(cap + 1)], [[] for _ in range(cap + 1)]), {}
+        self.count = ([0] * (cap + 1), [0] * (cap + 1))
+        self.has: dict[int, tuple[set[int], set[int]]] = {}
+        self.clock = 0
+
+    def enter(self, b: int, fill: int, lens: list[int]) -> None:
+        kinds = sorted(set(lens))
+        pairs = {x + y for i, x in enumerate(kinds) for y in kinds[i + 1 :]} | {2 * x for x in kinds if lens.count(x) > 1}
+        self.clock += 1
+        self.has[b], self.stamp[b] = (set(kinds), pairs), self.clock
+        for k in (0, 1):
+            for v in self.has[b][k]:
+                heappush(self.heaps[k][v], (fill, b, self.clock))
+                self.count[k][v] += 1
+                self.bits[k] |= 1 << v
+
+    def leave(self, b: int) -> None:
+        for k, values in enumerate(self.has.pop(b)):
+            for v in values:
+                self.count[k][v] -= 1
+                if not self.count[k][v]:
+                    self.bits[k] &= ~(1 << v)
+        del self.stamp[b]
+
+    def least_full(self, k: int, v: int, but: int) -> tuple[int, int] | None:
+        """(fill, bin) of the least full bin, other than one, that can give v by k + 1 documents."""
+        heap, own = self.heaps[k][v], None
+        while heap and (self.stamp.get(heap[0][1]) != heap[0][2] or heap[0][1] == but):
+            entry = heappop(heap)
+            if self.stamp.get(entry[1]) == entry[2]:
+                own = entry
+        found = heap[0][:2] if heap else None
+        if own:
+            heappush(heap, own)
+        return found
+
+    def best_for(self, b: int, fill: int, cap: int) -> tuple[int, int, int, int] | None:
+        """(source, documents it gives, their length, length given back) with the largest net shift that bin b has room for and that raises the squared fills."""
+        room, best, found = cap - fill, 0, None
+        ones, pairs = self.has[b]
+        for k, backs in ((0, [0, *ones, *pairs]), (1, ones)):
+            for back in backs:
+                fits = (self.bits[k] >> (back + 1 + best)) & ((1 << (room - best)) - 1)
+                while fits:
+                    v = back + best + fits.bit_length()
+                    source = self.least_full(k, v, b)
+                    if source and fill - source[0] + v - back > 0:
+                        best, found = v - back, (source[1], k + 1, v, back)
+                        break
+                    fits &= ~(1 << (fits.bit_length() - 1))
+                if best == room:
+                    return found
+        return found
+
+
+def _take(items: list[int], lengths: list[int], total: int, most: int) -> list[int]:
+    """Remove one or up to ``most`` (1 or 2) items of a total length from a bin."""
+    if not total:
+        return []
+    for i in items:
+        if lengths[i] == total:
+            items.remove(i)
+            return [i]
+    at: dict[int, int] = {}
+    for i in items if most == 2 else []:
+        if (j := at.get(total - lengths[i])) is not None:
+            items.remove(i)
+            items.remove(j)
+            return [i, j]
+        at[lengths[i]] = i
+    raise AssertionError("no such items")
 
 
 def local_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
-    """Empty bins while there are more than the tokens need and some exchange raises the sum of squared fills."""
+    """Empty bins while there are more than the tokens need and some exchange raises the sum of squared fills.
+
+    The fullest underfull bins take first, and take from the least full bin that has what fits best.
+    """
     need = max(-(-sum(lengths) // cap), sum(2 * n > cap for n in lengths))
     fill = [sum(lengths[i] for i in b) for b in bins]
-    changed = [0] * len(bins)  # the step of each bin's last change
-    tried: dict[tuple[int, int], int] = {}  # pairs without an exchange, and when that was found
-    alive, step = len(bins), 0
-
-    def give(source: int) -> bool:
-        """Let a bin give to fuller ones; whether it could."""
-        nonlocal alive, step
-        gave = False
-        for b in sorted((b for b in range(len(bins)) if 0 < fill[b] < cap and b != source), key=lambda b: -fill[b]):
-            if not fill[source]:
-                break
-            if fill[b] < fill[source] or fill[b] == cap or tried.get((source, b), -1) >= max(changed[source], changed[b]):
-                continue
-            found = _exchange([lengths[i] for i in bins[source]], [lengths[i] for i in bins[b]], cap - fill[b])
-            if not found:
-                tried[source, b] = step
-                continue
-            step += 1
-            for here, there, lens in ((source, b, found[0]), (b, source, found[1])):
-                for n in lens:
-                    i = next(i for i in bins[here] if lengths[i] == n)
-                    bins[here].remove(i)
-                    bins[there].append(i)
-                    fill[here] -= n
-                    fill[there] += n
-            changed[source] = changed[b] = step
-            gave = True
-        alive -= gave and not fill[source]
-        return gave
-
-    improved = True
+    offers, alive, improved = _Offers(cap), len(bins), True
+
+    def enter(b: int) -> None:
+        if 0 < fill[b] < cap:
+            offers.enter(b, fill[b], [lengths[i] for i in bins[b]])
+
+    for b in range(len(bins)):
+        enter(b)
     while improved and alive > need:
         improved = False
-        for source in sorted((b for b in range(len(bins)) if 0 < fill[b] < cap), key=lambda b: fill[b]):
-            if give(source):
+        for b in sorted(offers.has, key=lambda b: (-fill[b], b)):
+            while b in offers.has and alive > need and (found := offers.best_for(b, fill[b], cap)):
+                source, most, out, back = found
+                offers.leave(b)
+                offers.leave(source)
+                given = _take(bins[source], lengths, out, most)
+                returned = _take(bins[b], lengths, back, 2)
+                bins[b] += given
+                bins[source] += returned
+                fill[b] += out - back
+                fill[source] -= out - back
+                alive -= not fill[source]
                 improved = True
-                break
+                enter(b)
+                enter(source)
     return [b for b in bins if b]
 
 
