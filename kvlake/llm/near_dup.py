@@ -1,7 +1,7 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
 1. Every text becomes its set of distinct word shingles. Texts with the same
-   set form a class; only the smallest id of a class goes on.
+   set form a class, which gets a number and goes on as one member.
 2. Each class has a sketch of ``SKETCH`` minwise tokens. In each of ``trees``
    independent trees, a node draws coordinates at random (about 1/threshold of
    them) and branches its members by their token there. Nodes of one member
@@ -17,14 +17,16 @@
 4. Candidate groups are settled on full sets: exact intersections by inverted
    lists, each member compared with all members not yet connected to it.
    A group whose sets exceed ``budget`` shingles is dealt into blocks: blocks
-   are settled first, then every pair of blocks that is still apart is settled
-   again, so memory stays bounded and no link is lost.
+   are settled first, then pairs of blocks that still hold different components
+   are settled again, each with only those members that the other block has
+   another component for. So memory stays bounded and no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing.
 Texts with fewer words than ``words`` have one shingle, the whole sequence.
-Rows with a repeated id are the same document: their sets are joined with
-component and id like any other rows. Rows without an id link with nothing,
-have no component and are kept. An empty table gives an empty result.
+Rows with a repeated id are the same document: whatever links with one of
+their sets is in one component with all of them, while a row without words
+stays its own component. Rows without an id link with nothing, have no
+component and are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -249,7 +251,7 @@ def candidate_links(classes: DataFrame, threshold: float, trees: int, node: int,
         inside, rest = _dense(large, classes, node)
         compare(inside)
         if at < depth:
-            level = _branch(rest.join(classes, "doc_id"), threshold)
+            level = _branch(rest.join(classes.select("doc_id", "sketch"), "doc_id"), threshold)
         else:
             blocks_of = F.ceil(F.col("n") * 2 / node).cast("int")
             dealt = rest.withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
@@ -366,7 +368,10 @@ def joined(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]
 
 
 def _settled(groups: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
-    """Links (member, smallest member of its component) of each group of (grp, doc_id, known, text); rows with one value of known are joined already."""
+    """Links (member, smallest member of its component) of each group of (grp, doc_id, d1, d2, known, text).
+
+    Rows with one value of known are joined already; texts whose set is not that of (d1, d2) are another class's and are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [None, [], [], []]
@@ -382,9 +387,11 @@ def _settled(groups: DataFrame, words: int, num: int, den: int, parts: int) -> D
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in star], pa.int64()), pa.array([b for _, b in star], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            keys, ids, known = (batch.column(i).to_pylist() for i in range(3))
+            keys, ids, known, d1, d2 = (batch.column(i).to_pylist() for i in range(5))
             for at, texts in blocks(batch, "text", BLOCK_BYTES):
                 for i, s in enumerate(shingle_sets(scan(texts, lower=True), words), at):
+                    if digest(s) != (d1[i], d2[i]):
+                        continue
                     if keys[i] != held[0]:
                         if out := links():
                             yield out
@@ -395,7 +402,7 @@ def _settled(groups: DataFrame, words: int, num: int, den: int, parts: int) -> D
         if out := links():
             yield out
 
-    dealt = groups.select("grp", "doc_id", "known", "text").repartition(parts, "grp").sortWithinPartitions("grp")
+    dealt = groups.select("grp", "doc_id", "known", "d1", "d2", "text").repartition(parts, "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -415,58 +422,74 @@ def near_duplicates(
     small_batches(spark)
     num, den = similarity
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    rows, rows_path = saved(describe(docs, words, doc_id, text))
-    by_set = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = rows.filter("n_shingles > 0").join(by_set, ["d1", "d2"]).filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
-    classes, classes_path = saved(_with_low(reps))
+    rows, _ = saved(describe(docs, words, doc_id, text))
+    full = rows.filter("n_shingles > 0 and doc_id is not null")
+    sketched = F.struct("n_shingles", "sketch")
+    by_set = full.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", sketched.alias("s")), "doc_id").alias("r"))
+    numbered = by_set.select("d1", "d2", F.col("r.doc_id").alias("rep"), "r.s.*", F.monotonically_increasing_id().alias("doc_id"))
+    classes, classes_path = saved(_with_low(numbered))
     links, paths = candidate_links(classes, num / den, trees, node, depth, parts)
     found, found_path = components(links)
     remove(spark, *paths)
 
+    # ids that stand in several rows: their texts are taken once, and their classes are linked
+    repeats, repeats_path = saved(full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    texts = docs.select(docs[doc_id].cast("long").alias("rep"), docs[text].alias("text"))
+    same: DataFrame | None = None
+    if not repeats.isEmpty():
+        texts = texts.join(repeats.withColumnRenamed("doc_id", "rep"), "rep", "left_anti").union(texts.join(repeats.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").distinct())
+        own = full.join(repeats, "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct()
+        own = own.join(classes.select(F.col("doc_id").alias("a"), "d1", "d2"), ["d1", "d2"])
+        same = own.join(own.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").filter("a <> b").select("a", "b")
+
     # candidate groups with their texts; groups over the budget are dealt into blocks
-    sized = found.join(classes.select("doc_id", "n_shingles"), "doc_id")
-    totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.max("n_shingles").alias("most"))
+    sized = found.join(classes.select("doc_id", "n_shingles", "rep", "d1", "d2"), "doc_id")
+    totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     n_blocks = F.greatest(F.ceil(F.col("total") * 2 / budget), F.lit(1)).cast("int")
     member = (
         sized.join(totals, "component")
         .withColumn("n_blocks", F.when(F.col("total") <= budget, F.lit(1)).otherwise(n_blocks))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks").cast("int"))
-        .select("doc_id", "component", "n_blocks", "block")
+        .select("doc_id", "rep", "d1", "d2", "component", "n_blocks", "block")
     )
     member, member_path = saved(member)
-    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    first = texts.join(member.select("doc_id", F.xxhash64("component", "block").alias("grp"), F.col("doc_id").alias("known")), "doc_id")
+    first = texts.join(member.select("rep", "doc_id", "d1", "d2", F.xxhash64("component", "block").alias("grp"), F.col("doc_id").alias("known")), "rep")
     exact, exact_path = saved(_settled(first, words, num, den, parts))
+    gone = [member_path, found_path, exact_path, repeats_path]
     if not member.filter("n_blocks > 1").isEmpty():
         known, known_path = components(exact)
-        apart = (
-            member.filter("n_blocks > 1")
-            .join(known.withColumnRenamed("component", "known"), "doc_id", "left")
-            .withColumn("known", F.coalesce("known", "doc_id"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .filter("other <> block")
-            .withColumn("grp", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(1)))
-        )
-        more, more_path = saved(_settled(texts.join(apart.select("doc_id", "grp", "known"), "doc_id"), words, num, den, parts))
-        kept_paths = [exact_path, known_path, more_path]
-        final, _ = components(exact.union(more))
-        remove(spark, *kept_paths)
+        labelled = member.filter("n_blocks > 1").join(known.withColumnRenamed("component", "known"), "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
+        labelled, labelled_path = saved(labelled)
+        held = labelled.groupBy("component", F.col("block").alias("other")).agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+        # a member goes to the blocks that hold another component than its own
+        apart = labelled.join(held, "component").filter("other <> block and (lo <> known or hi <> known)")
+        apart = apart.withColumn("grp", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(1)))
+        more, more_path = saved(_settled(texts.join(apart.select("rep", "doc_id", "d1", "d2", "grp", "known"), "rep"), words, num, den, parts))
+        exact = exact.union(more)
+        gone += [known_path, labelled_path, more_path]
+    if same is not None:
+        exact = exact.union(same)
+    if len(gone) > 4 or same is not None:
+        final, final_path = components(exact)
     else:  # every group was settled whole
-        final = exact.selectExpr("a as doc_id", "b as component")
-    remove(spark, member_path, found_path)
-
-    reps_of = by_set.join(final, by_set["rep"] == final["doc_id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("sketch").join(reps_of, ["d1", "d2"], "left")
+        final, final_path = saved(exact.selectExpr("a as doc_id", "b as component"))
+    remove(spark, *gone)
+
+    reach = classes.select("doc_id", "rep", "d1", "d2").join(final, "doc_id", "left").withColumn("root", F.coalesce("component", "doc_id"))
+    reach, _ = saved(reach.select("d1", "d2", "rep", "root"))
+    remove(spark, classes_path, final_path)
+    least = reach.groupBy("root").agg(F.min("rep").alias("component"))
+    out = rows.drop("sketch").join(reach.join(least, "root").select("d1", "d2", "component"), ["d1", "d2"], "left")
     component: Column = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", kept)
 
 
-def _with_low(reps: DataFrame) -> DataFrame:
+def _with_low(classes: DataFrame) -> DataFrame:
     """Adds the low byte of every token, by which sketches are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _low(batch.column(2))], [*batch.schema.names, "low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _low(batch.column("sketch"))], [*batch.schema.names, "low"])
 
-    return reps.mapInArrow(run, "doc_id long, n_shingles long, sketch binary, low binary")
+    return classes.mapInArrow(run, "d1 long, d2 long, rep long, n_shingles long, sketch binary, doc_id long, low binary")

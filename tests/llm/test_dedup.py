@@ -74,19 +74,53 @@ def test_settling_compares_all_pairs():
     assert dict(linked) == {k: v for k, v in want.items() if k != v}
 
 
+def repeated_ids():
+    """Ids in several rows, of different and of equal texts, and near copies of only one of the texts."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    data = [(1, a), (1, b), (5, a + " x"), (7, b + " x"), (9, a), (9, "c " * 30), (4, "c " * 30 + "d"), (8, None), (8, a), (3, "other words of no other text"), (3, "other words of no other text")]
+    return [*data, *[(2, f"only this text number {i} " + " ".join(f"z{i}.{k}" for k in range(9))) for i in range(3)]]
+
+
+@pytest.mark.parametrize("options", [{}, {"budget": 60}])
+def test_near_duplicates_of_repeated_ids(spark, options):
+    """Every row's component, where all rows of one id are one document."""
+    data = repeated_ids()
+    got = near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), **options)
+    part = {i: i for i, _ in data}
+    for (i, s), (j, t) in combinations([(i, shingles(t)) for i, t in data], 2):
+        both = len(s & t)
+        if both and 100 * both >= 75 * len(s | t):
+            x, y = sorted((part[i], part[j]))
+            part = {k: x if v == y else v for k, v in part.items()}
+    of = lambda i, t: part[i] if shingles(t) else i
+    assert result(got, *NEAR) == Counter((i, len(shingles(t)), of(i, t), of(i, t) == i) for i, t in data)
+
+
 def test_sketch_recall():
-    """Trees find pairs at the threshold: share of random pairs at 0.75 that meet in some node."""
-    r, met, n = np.random.default_rng(4), 0, 300
-    for _ in range(n):
-        both, apart = r.integers(0, 2**63, 150).astype(np.uint64), r.integers(0, 2**63, 50).astype(np.uint64)
-        tokens = np.stack([np.frombuffer(x, np.uint32) for x in near_dup.sketches([np.concatenate([both, apart[:25]]), np.concatenate([both, apart[25:]])])])
-        nodes = [set(), set()]
+    """One step of twelve trees finds pairs at the threshold: of 20,000 pairs whose tokens agree by chance of 0.75, all meet in some node."""
+    r, met = np.random.default_rng(4), 0
+    for _ in range(20):
+        n = 1000
+        a, b = (r.integers(0, 2**32, (n, near_dup.SKETCH)).astype(np.uint32) for _ in range(2))
+        b = np.where(r.random(a.shape) < 0.75, a, b)
+        found = np.zeros(n, bool)
         for tree in range(12):
-            row, child = near_dup._children(near_dup.mix(np.full(2, tree + 1, np.uint64)), tokens, 0.75)
-            for i, c in zip(row, child, strict=True):
-                nodes[i].add(int(c))
-        met += bool(nodes[0] & nodes[1])
-    assert met >= n - 1
+            root = near_dup.mix(np.full(n, tree + 1, np.uint64))
+            pairs = [set(zip(*map(np.ndarray.tolist, near_dup._children(root, x, 0.75)), strict=True)) for x in (a, b)]
+            found[[i for i, _ in pairs[0] & pairs[1]]] = True
+        met += int(found.sum())
+    assert met == 20_000
+
+
+def test_sketches_agree_as_sets_do():
+    r = np.random.default_rng(5)
+    both, apart = r.integers(0, 2**63, 1500).astype(np.uint64), r.integers(0, 2**63, 500).astype(np.uint64)
+    shares = []
+    for k in range(20):
+        seed = near_dup.mix(np.full(1, k, np.uint64))
+        x, y = (np.frombuffer(t, np.uint32) for t in near_dup.sketches([np.concatenate([both, p]) ^ seed for p in (apart[:250], apart[250:])]))
+        shares.append((x == y).mean())
+    assert abs(np.mean(shares) - 0.75) < 0.04
 
 
 def brute_repeats(data, length=20):
