@@ -2,10 +2,10 @@
 
 A window is a run of words of one text. Windows repeated at one length are
 the only ones that can repeat at twice that length, so candidates are
-extended level by level. ``remove_repeats`` stops at the second level: half the
-asked length, then the asked length, whose windows alone decide which words are
-removed. The further levels (twice the length and so on, until no candidates
-survive or 2^20 words are reached) are ``repeated_lengths``, which no query calls.
+extended level by level until none survives: half the asked length, the asked
+length, twice that length and so on. Repeats of the asked length decide which words
+are removed; the last level that a text takes part in says how long its longest
+repeats are (``longest_repeat``, the asked length doubled so many times; 0 for none).
 
 Level 1 does not need every start: of the starts of half-length windows inside
 any window of the asked length, the one with the least hash is marked
@@ -13,7 +13,12 @@ any window of the asked length, the one with the least hash is marked
 windows in twelve are marked; marked windows that occur once are dropped.
 Each survivor is extended to all windows of the asked length that contain it.
 Of these, every one that also starts earlier (smaller id, or same id and
-earlier start) is a repeat, and the words it covers are removed.
+earlier start) is a repeat, and the words it covers are removed. Beyond the
+asked length a window is two repeated halves side by side, so texts are not
+read again: its digest follows from those of its halves.
+
+Windows are told apart by two 64-bit digests, so that none of 10^14 windows is
+taken for another by chance.
 
 Texts with equal word sequences are one class: the first id stands for all.
 A later copy is removed whole if it has a window at all.
@@ -38,8 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm.store import release, remove, saved, small_batches
-from kvlake.llm.words import Words, blocks, digest, scan, windows
+from kvlake.llm.words import Words, blocks, digest, mix, scan, windows
 
+SECOND = np.uint64(0x5851F42D4C957F2D)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -110,18 +116,19 @@ def _anchors(docs: DataFrame, half: int, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, h long")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, h) whose h occurs again, with the first place of it.
+def _repeated(rows: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """Rows whose digest occurs again, saved, and their path.
 
-    The first places are saved before the join: both of its sides are then plain shuffles, and a hash with very many rows can be split over tasks.
+    The digests are saved before the join: both of its sides are then plain shuffles, and a digest with very many rows can be split over tasks.
     """
-    place = F.struct("doc_id", "start")
-    again, _ = saved(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return rows.join(again, "h")
+    again, path = saved(rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by))
+    out = saved(rows.join(again, [*by], "left_semi"))
+    remove(rows.sparkSession, path)
+    return out
 
 
 def _extended(docs: DataFrame, starts: DataFrame, span: int, length: int) -> DataFrame:
-    """(doc_id, start, h) of all windows of ``length`` words that begin at most ``span`` words before a listed start, and contain it."""
+    """(doc_id, start, h, g) of all windows of ``length`` words that begin at most ``span`` words before a listed start, and contain it."""
     listed = starts.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +136,9 @@ def _extended(docs: DataFrame, starts: DataFrame, span: int, length: int) -> Dat
             ids, lists = batch.column(0), batch.column(2)
             for at, texts in blocks(batch):
                 w = scan(texts)
-                runs = windows(w.hashes(), length)
-                rows, begins, values = [], [], []
+                hashes = w.hashes()
+                runs, seconds = windows(hashes, length), windows(mix(hashes ^ SECOND), length)
+                rows, begins, values, others = [], [], [], []
                 for i in range(len(texts)):
                     a, n = int(w.first[i]), int(w.first[i + 1] - w.first[i]) - length + 1
                     if n <= 0:
@@ -143,27 +151,35 @@ def _extended(docs: DataFrame, starts: DataFrame, span: int, length: int) -> Dat
                     rows.append(np.full(len(begin), at + i))
                     begins.append(begin)
                     values.append(runs[a + begin])
+                    others.append(seconds[a + begin])
                 if rows:
-                    row, begin, value = (np.concatenate(x) for x in (rows, begins, values))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64))], ["doc_id", "start", "h"])
+                    row, begin, value, other = (np.concatenate(x) for x in (rows, begins, values, others))
+                    cols = [pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(other.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *cols], ["doc_id", "start", "h", "g"])
 
-    return docs.join(listed, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start int, h long")
+    return docs.join(listed, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start int, h long, g long")
 
 
-def repeated_lengths(docs: DataFrame, repeats: DataFrame, length: int, most: int = 1 << 20) -> list[tuple[int, int]]:
-    """(length, windows that occur again) from ``length`` on, doubling until no window survives.
+def longest_repeats(level: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
+    """(doc_id, longest): ``length`` doubled until no window of the text occurs again; and the saved tables that are read.
 
-    ``repeats``: rows (doc_id, start) of windows of ``length`` words that occur again.
+    ``level``: distinct rows (doc_id, start, h, g) of windows of ``length`` words that occur again; two starts of one digest are two places.
     """
-    out, spark = [(length, repeats.count())], docs.sparkSession
-    while out[-1][1] and length < most:
-        # a window of twice the length that repeats begins with a repeated window
-        longer = _repeated(_extended(docs, repeats, 0, length * 2)).select("doc_id", "start")
-        repeats, _ = saved(longer)
-        length *= 2
-        out.append((length, repeats.count()))
-        release(spark)
-    return out
+    spark, paths, reached, level_path = level.sparkSession, [], None, None
+    while True:
+        here, path = saved(level.select("doc_id", F.lit(length).cast("long").alias("longest")).distinct())
+        paths.append(path)
+        reached = here if reached is None else reached.union(here)
+        # a window of twice the length that repeats is two repeated halves
+        later = level.select("doc_id", (F.col("start") - length).alias("start"), F.col("h").alias("h2"), F.col("g").alias("g2"))
+        twice = level.join(later, ["doc_id", "start"]).select("doc_id", "start", F.xxhash64("h", "h2").alias("h"), F.xxhash64("g", F.lit(7), "g2").alias("g"))
+        twice, twice_path = saved(twice)
+        longer, longer_path = _repeated(twice, "h", "g")
+        remove(spark, twice_path, *([level_path] if level_path else []))
+        level, level_path, length = longer, longer_path, length * 2
+        if level.isEmpty():
+            remove(spark, level_path)
+            return reached.groupBy("doc_id").agg(F.max("longest").alias("longest")), paths
 
 
 def _removed(docs: DataFrame, repeats: DataFrame, length: int) -> DataFrame:
@@ -194,32 +210,43 @@ def _removed(docs: DataFrame, repeats: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
+    """doc_id, n_words, n_removed, kept_sha256 and longest_repeat of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows, _ = saved(_described(source))
-    firsts = rows.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    firsts, _ = saved(firsts)
+    firsts = rows.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
+    firsts, _ = saved(firsts.agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") != F.max("doc_id")).alias("copied")))
     half = max(1, length // 2)
     own = source.join(firsts.select("doc_id"), "doc_id", "left_semi")
     anchors, anchors_path = saved(_anchors(own, half, length))
     release(spark)
-    survivors, survivors_path = saved(_repeated(anchors).select("doc_id", "start"))
+    survivors, survivors_path = _repeated(anchors, "h")
     remove(spark, anchors_path)
     release(spark)
     full, full_path = saved(_extended(source, survivors, length - half, length))
     remove(spark, survivors_path)
     release(spark)
-    later = _repeated(full).filter("struct(doc_id, start) > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    later, later_path = saved(later)
+    found, found_path = _repeated(full, "h", "g")
     remove(spark, full_path)
     release(spark)
+    first, first_path = saved(found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last"))
+    placed = found.join(first, ["h", "g"])
+    later, later_path = saved(placed.filter("struct(doc_id, start) > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
     left, _ = saved(_removed(source, later, length))
     remove(spark, later_path)
     release(spark)
-    out = rows.join(firsts.withColumn("own", F.lit(True)), ["doc_id", "d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left")
-    whole = F.col("own").isNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= length)
+    level, level_path = saved(placed.select("doc_id", "start", "h", "g").distinct())
+    remove(spark, found_path, first_path)
+    longest, longest_paths = longest_repeats(level, length)
+    longest, _ = saved(longest)
+    remove(spark, level_path, *longest_paths)
+    release(spark)
+    out = rows.join(firsts.withColumnRenamed("doc_id", "first_id"), ["d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left").join(longest, "doc_id", "left")
+    whole = F.col("doc_id") != F.col("first_id")
     removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("sha_left", "sha"))
-    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
+    # all windows of a copied text repeat: the last doubling that it is long enough for
+    top = F.expr(f"shiftleft({length}L, length(bin(n_words div {length})) - 1)")
+    mine = F.when(F.col("doc_id").isNotNull() & F.col("copied"), top).otherwise(F.coalesce("longest", F.lit(0)))
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), mine.cast("long").alias("longest_repeat"))

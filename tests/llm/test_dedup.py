@@ -124,7 +124,13 @@ def test_sketches_agree_as_sets_do():
 
 
 def brute_repeats(data, length=20):
-    seen, out = {}, Counter()
+    """n_words, n_removed, sha256 of the rest and the longest doubling of length that repeats, of documents with unique or wholly equal rows."""
+    seen, places, out = {}, {}, Counter()
+    for i, t, *_ in sorted(data, key=lambda x: x[0]):
+        w = WORDS.findall(t or "")
+        for n in (length << k for k in range(20)):
+            for p in range(len(w) - n + 1):
+                places.setdefault(tuple(w[p : p + n]), set()).add((i, p))
     for i, t, *_ in sorted(data, key=lambda x: x[0]):
         w = WORDS.findall(t or "")
         gone = [False] * len(w)
@@ -133,11 +139,12 @@ def brute_repeats(data, length=20):
             if seen.setdefault(key, (i, p)) < (i, p):
                 gone[p : p + length] = [True] * length
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out[(i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+        longest = max((n for n in (length << k for k in range(20)) if any(len(places[tuple(w[p : p + n])]) > 1 for p in range(len(w) - n + 1))), default=0)
+        out[(i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), longest)] += 1
     return out
 
 
-REPEATS = ("doc_id", "n_words", "n_removed", "kept_sha256")
+REPEATS = ("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
 
 @pytest.mark.parametrize("seed", [1, 5])
@@ -153,12 +160,13 @@ def test_repeats_at_other_lengths_and_of_nothing(spark):
 
 
 def test_levels_double_until_none_survives(spark):
-    passage = " ".join(f"p{i}" for i in range(100))
-    df = spark.createDataFrame([(1, passage + " x", None, None, None), (2, "y " + passage, None, None, None)], documents(spark).schema)
-    starts = df.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("start")).withColumn("start", F.expr("start + if(doc_id = 2, 1, 0)").cast("int"))
-    source = df.select("doc_id", "text")
-    levels = substring.repeated_lengths(source, substring._repeated(substring._extended(source, starts, 0, 20)).select("doc_id", "start"), 20)
-    assert levels == [(20, 160), (40, 122), (80, 42), (160, 0)]
+    """Passages of 100 and 333 words, words that repeat within one text, and a very long text."""
+    r = np.random.default_rng(1)
+    prose = lambda n: " ".join(map(str, r.integers(0, 10**9, n)))
+    short, long = prose(100), prose(333)
+    data = [(1, f"{short} {prose(9)}"), (2, f"{prose(50)} {short}"), (3, f"{long} {prose(5)} {long}"), (4, "the same " * 400), (5, prose(19)), (6, prose(20_000)), (7, f"{prose(3)} {short} {long}")]
+    got = result(substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")), *REPEATS)
+    assert got == brute_repeats(data) and {x[0]: x[4] for x in got} == {1: 80, 2: 80, 3: 320, 4: 640, 5: 0, 6: 0, 7: 320}
 
 
 def test_rows_without_ids(spark):
