@@ -85,6 +85,11 @@ def can_drop_tombstones(plan: Plan, tables: list[Table]) -> bool:
     return not any(t.id not in ids and t.level >= max(plan.level, 1) and overlaps(t, low, high) for t in tables)
 
 
+def flushable(full: list, retain: int) -> list:
+    """The units of flushing that are due, oldest first: all full ones but the newest ``retain``."""
+    return full[: max(0, len(full) - retain)]
+
+
 def estimate_keys(tables: list[Table], target_bytes: int) -> int:
     """Keys of one output table, for sizing its filter."""
     keys, size = sum(t.keys for t in tables), sum(t.size for t in tables)

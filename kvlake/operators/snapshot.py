@@ -80,14 +80,15 @@ def merge(runs: Iterable[DataFrame]) -> DataFrame:
 def numbered(df: DataFrame, *order: Column, into: str = "ord") -> DataFrame:
     """df with its rank (from 1) in a total order, without a single-partition window.
 
-    Rows are dealt into ranges of the order and saved; each range is numbered by itself, and a prefix sum over the range counts
-    (one row a range) gives where it begins.
+    Rows are dealt into ranges of the order, sorted, and saved with their place in the range; a prefix sum over the range counts (one row a
+    range) gives where each begins. Ranges follow a sample of the rows, so their sizes do not depend on how the order's values are spread.
     """
-    spread, _ = saved(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread, _ = saved(dealt.withColumn("__at", F.monotonically_increasing_id()))  # range in the high bits, place in the low 33
+    spread = spread.select("*", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__nth")).drop("__at")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     begins = spread.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return spread.withColumn("__nth", nth).join(F.broadcast(begins), "__part").withColumn(into, F.col("__begin") + F.col("__nth")).drop("__part", "__nth", "__begin")
+    return spread.join(F.broadcast(begins), "__part").withColumn(into, F.col("__begin") + F.col("__nth") + 1).drop("__part", "__nth", "__begin")
 
 
 def first_hit(runs: DataFrame, key: str = "k", run: str = "run") -> DataFrame:

@@ -14,6 +14,8 @@ MAX_VALUE_BYTES = 4 << 20
 LEVELS = 5
 
 OPLOG = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("seq", T.LongType()), T.StructField("op", T.IntegerType()), T.StructField("value", T.BinaryType())])
+#: The op log with a checksum of each record, as log batches are stored.
+LOGGED = T.StructType([*OPLOG.fields, T.StructField("crc", T.LongType())])
 TABLE = T.StructType(
     [
         T.StructField("ver", T.IntegerType()),
@@ -61,13 +63,21 @@ class Corrupt(KvError):
         self.lsn = lsn
 
 
+class Locked(KvError):
+    """Another engine holds the folder."""
+
+
 class BelowHorizon(KvError):
     """An as-of read below the newest flushed sequence: older versions may be gone."""
 
 
 @dataclass(frozen=True)
 class Options:
-    """Engine options. Defaults are fixed values of the storage model."""
+    """Engine options. Defaults are fixed values of the storage model.
+
+    ``memtable_bytes``: log batches of this size together are one unit of flushing; ``cached_immutables`` full units stay in the log.
+    ``segment_bytes``: size of the files a log batch is written in. ``corruption``: what recovery does with damage in mid-log, stop or truncate.
+    """
 
     batch_requests: int = 128
     memtable_bytes: int = 64 << 20

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.functions.scalar import checksum
+from kvlake.operators.snapshot import numbered
 from kvlake.schema import DELETE, MAX_KEY_BYTES, MAX_VALUE_BYTES, OPLOG, SET, EmptyKey, KeyTooLarge, ValueTooLarge
 
 
@@ -40,8 +42,36 @@ def rows(spark: SparkSession, writes: Iterable[tuple[bytes, int, bytes | None]],
 
 
 def assign_seq(writes: DataFrame, arrival: str, committed: int) -> DataFrame:
-    """Commit-order sequences after ``committed`` for a micro-batch (bounded by its trigger, hence one window)."""
-    return writes.withColumn("seq", F.row_number().over(Window.orderBy(arrival)).cast("long") + committed)
+    """Commit-order sequences after ``committed``, by arrival. Ranges of arrivals are numbered by themselves, so no task holds them all."""
+    return numbered(writes, F.col(arrival), into="seq").withColumn("seq", F.col("seq").cast("long") + committed)
+
+
+def record_crc() -> Column:
+    """Checksum of a record's sequence, op, key and value."""
+    head = F.concat_ws(":", "seq", "op", F.octet_length("key"), F.coalesce(F.octet_length("value"), F.lit(-1)))
+    return checksum(F.concat(head.cast("binary"), F.col("key"), F.coalesce("value", F.lit(b""))))
+
+
+def stamped(log: DataFrame) -> DataFrame:
+    """An op log with the checksum of each record."""
+    return log.select("key", "seq", "op", "value").withColumn("crc", record_crc())
+
+
+def checked(log: DataFrame) -> DataFrame:
+    """A stamped op log with ``valid``: whether each record has its checksum."""
+    return log.withColumn("valid", F.col("crc").eqNullSafe(record_crc()))
+
+
+def rolled(sizes: list[int], most: int) -> list[list[int]]:
+    """Numbers of consecutive batches that fill one unit of at most ``most`` bytes each (one batch at least); the last unit is still open."""
+    out, size = [[]], 0
+    for i, n in enumerate(sizes):
+        if out[-1] and size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += n
+    return out
 
 
 def batches(log: DataFrame, size: int) -> DataFrame:

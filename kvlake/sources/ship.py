@@ -9,14 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from kvlake.sources.store import is_local
+
 ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package as a zip to the context, once, unless workers find it by PYTHONPATH or by the working folder."""
+    """Add the package as a zip to the context, once, unless workers are children of this process that find it as this one does."""
     context = spark.sparkContext
     known = [Path(p or ".").resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]]
-    if ROOT in known or getattr(context, "_kvlake_shipped", False):
+    if (is_local(spark) and ROOT in known) or getattr(context, "_kvlake_shipped", False):
         return
     path = Path(tempfile.mkdtemp(prefix="kvlake-zip-")) / "kvlake.zip"
     with zipfile.ZipFile(path, "w") as out:

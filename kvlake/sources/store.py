@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the executors are threads of the driver."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests), one of our own, which is then set."""
+    """The session's spark.checkpoint.dir; where it is unset, one of our own, which only a local master (tests) can share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -53,17 +61,19 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, data: bytes) -> None:
-        """Write beside the target, then rename over it."""
+    def create(self, path: str, data: bytes) -> None:
+        """A new file that appears whole or not at all: written beside, then renamed. An existing file is an error."""
         fs, p = self._at(path)
-        _, beside = self._at(f"{path}.tmp")
-        out = fs.create(beside, True)
-        out.write(bytearray(data))
-        out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(beside, p):
-            raise OSError(f"cannot rename to {path}")
+        folder, _, name = path.rpartition("/")
+        _, beside = self._at(f"{folder}/.{name}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        if fs.exists(p) or not fs.rename(beside, p):
+            fs.delete(beside, False)
+            raise FileExistsError(path)
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

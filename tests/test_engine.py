@@ -1,13 +1,15 @@
 """The engine end to end: writes, reads, recovery, flush, compaction, catalog rules."""
 
 import random
+import shutil
 
 import pytest
 
 from kvlake.operators import compaction
 from kvlake.operators.compaction import Plan, Table
 from kvlake.plans.engine import Engine
-from kvlake.schema import ADD, CHECKPOINT, REMOVE, BelowHorizon, Corrupt, NotStarted, Options, ReadOnly
+from kvlake.schema import ADD, CHECKPOINT, REMOVE, BelowHorizon, Corrupt, Locked, NotStarted, Options, ReadOnly
+from kvlake.sources import oplog
 from kvlake.sources.catalog import Catalog, Version, parse, text_of
 from kvlake.sources.store import Files
 from kvlake.streaming import ingest
@@ -42,7 +44,8 @@ def test_life_of_keys(spark, tmp_path):
         assert again.committed == committed
         assert scan(again) == want
         assert again.get(b"e") == (b"old-e", True)
-        assert {r["level"]: r["files"] for r in again.metrics().collect()}[0] == 2
+        assert {(r["name"], r["level"]): r["value"] for r in again.metrics().collect()}["tables", 0] == 2
+        assert [r["lvl"] for r in again.tables().collect()] == [0, 0]
 
 
 def test_recovery_takes_rows_after_the_checkpoint(spark, tmp_path):
@@ -56,14 +59,169 @@ def test_recovery_takes_rows_after_the_checkpoint(spark, tmp_path):
 
 
 def test_failed_log_makes_it_read_only(spark, tmp_path):
+    taken = tmp_path / "db" / "log" / f"{2:020d}-{2:020d}"
     with Engine(spark, str(tmp_path / "db")) as e:
         e.set(b"a", b"1")
-        (tmp_path / "db" / "log" / f"{2:020d}-{2:020d}").mkdir()  # the next batch's place is taken
+        taken.mkdir()  # the next batch's place is taken
         with pytest.raises(ReadOnly):
             e.set(b"b", b"2")
         with pytest.raises(ReadOnly):
             e.delete(b"a")
         assert e.err() is not None and e.get(b"a") == (b"1", True)
+    with Engine(spark, str(tmp_path / "db")) as e:  # an aborted batch does not outlive a restart
+        assert not taken.exists()
+        e.set(b"b", b"2")
+        assert scan(e) == [(b"a", b"1"), (b"b", b"2")]
+        with pytest.raises(ValueError, match="were due"):
+            e.append(oplog.rows(spark, [(b"c", 1, b"3")], 9), 1)
+        e.set(b"c", b"3")
+        assert e.err() is None
+
+
+class Died(Exception):
+    pass
+
+
+class Mortal(Files):
+    """Files that die after a number of changes."""
+
+    def __init__(self, spark, steps):
+        super().__init__(spark)
+        self.steps = steps
+
+    def _step(self):
+        if self.steps == 0:
+            raise Died
+        self.steps -= 1
+
+    def create(self, path, data):
+        self._step()
+        super().create(path, data)
+
+    def delete(self, path):
+        self._step()
+        super().delete(path)
+
+
+def test_death_between_any_two_steps(spark, tmp_path):
+    """However many file steps a run gets before it dies, a new engine finds all acknowledged writes."""
+    batches = [[(b"a", 1, b"1"), (b"b", 1, b"2")], [(b"a", 2, None)], [(b"c", 1, b"3"), (b"b", 1, b"4")]]
+    for steps in range(40):
+        folder, model, acked = str(tmp_path / f"db{steps}"), {}, 0
+        e = Engine(spark, folder, Options(l0_trigger=2, stale_records=3))
+        e.files = e.catalog.files = Mortal(spark, steps)
+        finished = False
+        try:
+            e.start()
+            for batch in batches:
+                e.write(batch)
+                acked += 1
+                e.flush()
+                e.compact()
+                e.vacuum()
+            finished = True
+        except (Died, ReadOnly):
+            pass
+        again = Engine(spark, folder).start(takeover=True)
+        done = [b for b in batches if b][: max(acked, [0, 2, 3, 5].index(again.committed))]
+        for batch in done:
+            model.update({k: v for k, _, v in batch})
+        assert acked <= [0, 2, 3, 5].index(again.committed) <= acked + 1
+        assert scan(again) == sorted((k, v) for k, v in model.items() if v is not None), steps
+        again.write([(b"z", 1, b"9")])
+        assert again.get(b"z") == (b"9", True)
+        again.stop()
+        if finished:
+            break
+    assert finished
+
+
+def test_one_engine_at_a_time(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "db")) as e:
+        with pytest.raises(Locked):
+            Engine(spark, str(tmp_path / "db")).start()
+        other = Engine(spark, str(tmp_path / "db")).start(takeover=True)
+        other.set(b"a", b"1")
+        with pytest.raises(ReadOnly):
+            e.set(b"b", b"2")
+        other.stop()
+    shutil.rmtree(tmp_path / "db" / "catalog")
+    with pytest.raises(Corrupt):
+        Engine(spark, str(tmp_path / "db")).start()
+    assert list((tmp_path / "db" / "log").iterdir()) and not (tmp_path / "db" / "LOCK").exists()
+
+
+def damage(folder, first, last):
+    """Replace the rows of a log batch by others."""
+    path = folder / "log" / f"{first:020d}-{last:020d}"
+    for f in path.glob("*.parquet"):
+        f.write_bytes(f.read_bytes()[:-20])
+        (path / f".{f.name}.crc").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("policy", ["stop", "truncate"])
+def test_damaged_batches(spark, tmp_path, policy):
+    db = tmp_path / "db"
+    with Engine(spark, str(db)) as e:
+        for i in range(1, 5):
+            e.set(f"k{i}".encode(), b"v")
+    damage(db, 4, 4)
+    with Engine(spark, str(db)) as e:  # a torn tail is cut under either policy
+        assert [k for k, _ in scan(e)] == [b"k1", b"k2", b"k3"]
+        e.set(b"k5", b"v")
+    damage(db, 2, 2)
+    again = Engine(spark, str(db), Options(corruption=policy))
+    if policy == "stop":
+        with pytest.raises(Corrupt) as x:
+            again.start()
+        assert x.value.lsn == 2 and not (db / "LOCK").exists()
+    else:
+        assert again.start().committed == 1 and [k for k, _ in scan(again)] == [b"k1"]
+        again.set(b"k6", b"v")
+        assert again.get(b"k6") == (b"v", True)
+        again.stop()
+
+
+def test_full_units_are_flushed(spark, tmp_path):
+    """Batches of 2 MiB: two fill a unit of 5 MiB; one full unit stays in the log, older ones become tables."""
+    big = b"x" * (2 * MIB)
+    with Engine(spark, str(tmp_path / "db"), Options(memtable_bytes=5 * MIB, cached_immutables=1)) as e:
+        sizes = []
+        for i in range(7):
+            e.set(f"k{i}".encode(), big)
+            sizes.append((len(e.catalog.version.tables), [len(u) for u in e.units()]))
+        assert sizes == [(0, [1]), (0, [2]), (0, [2, 1]), (0, [2, 2]), (1, [2, 1]), (1, [2, 2]), (2, [2, 1])]
+        assert [k for k, _ in scan(e)] == [f"k{i}".encode() for i in range(7)]
+        assert len(list((tmp_path / "db" / "log").iterdir())) == 7
+    with Engine(spark, str(tmp_path / "db")) as e:  # flushed batches are removed at the latest at the next start
+        assert len(list((tmp_path / "db" / "log").iterdir())) == 3 and e.committed == 7
+
+
+def test_snapshots_keep_their_files(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "db"), Options(l0_trigger=2)) as e:
+        e.set(b"a", b"1")
+        e.flush()
+        with e.snapshot() as then:
+            e.write([(b"a", 1, b"2"), (b"b", 1, b"3")])
+            e.flush()
+            e.compact()
+            e.vacuum()
+            assert [tuple(map(bytes, r)) for r in then.scan().collect()] == [(b"a", b"1")] and then.get(b"b") == (None, False)
+            assert scan(e) == [(b"a", b"2"), (b"b", b"3")]
+        assert e.vacuum() == 1
+
+
+def test_damaged_tables_are_an_error(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "db")) as e:
+        e.write([(f"k{i}".encode(), 1, b"value" * 20) for i in range(200)])
+        e.flush()
+        [f] = (tmp_path / "db" / "tables").glob("*/*/*.parquet")
+        data = bytearray(f.read_bytes())
+        data[100] ^= 0xFF
+        f.write_bytes(data)
+        (f.parent / f".{f.name}.crc").unlink()
+        with pytest.raises(Exception, match="(?i)crc|checksum|corrupt|could not read page"):
+            scan(e)
 
 
 def test_random_work_matches_a_model(spark, tmp_path):
@@ -92,6 +250,13 @@ def test_stream_ingest(spark, tmp_path):
         ingest.ingest(stream, e, str(tmp_path / "cp"), flush_rows=1).awaitTermination()
         assert scan(e) == [(b"b", b"2")]
         assert len(e.catalog.version.tables) == 1
+        committed = e.committed
+        for _ in range(2):  # the stream's progress is lost: its batches are replayed, and committed once
+            shutil.rmtree(tmp_path / "cp")
+            ingest.ingest(stream, e, str(tmp_path / "cp")).awaitTermination()
+        assert e.committed == committed and e.last_of("stream") == 0
+    with Engine(spark, str(tmp_path / "db")) as e:
+        assert e.last_of("stream") == 0 and e.last_of("other") == -1
 
 
 def t(i, level, lo, hi, size=MIB):
@@ -158,19 +323,34 @@ def test_versions():
 
 
 def test_catalog_file(spark, tmp_path):
-    path = tmp_path / "catalog.jsonl"
+    path = tmp_path / "catalog"
     c = Catalog(Files(spark), str(path), stale_limit=5)
+    c.create()
     c.edit([add(50), add(40), add(60), add(3, 1), checkpoint(1, 1)])
     for _ in range(8):
         c.edit([add(70), {"op": REMOVE, "table": {"id": 70, "lvl": 0}}])
-    assert len(c.lines) < 12
-    again = Catalog(Files(spark), str(path)).open()
-    assert [x["id"] for x in again.level(0)] == [60, 40, 50] and again.last_seq == 1 and again.top_id == 70
-    whole = path.read_bytes()
-    assert parse(whole + b'{"op": 1, "tab')[1] > 0
-    assert Catalog(Files(spark), str(path)).open().tables.keys() == again.tables.keys()
+    assert c.records < 12 and len(list(path.glob("*.jsonl"))) < 4
+    again = Catalog(Files(spark), str(path))
+    state = again.open()
+    assert [x["id"] for x in state.level(0)] == [60, 40, 50] and state.last_seq == 1 and state.top_id == 70 and again.next_id() == 71
+    with pytest.raises(FileExistsError):  # two writers of one number
+        again.edit([add(80)])
+        c.edit([add(81)])
+    assert parse(b'{"op": 3}\n{"op": 1, "tab')[1] > 0
+    (path / ".leftover.tmp").write_bytes(b"{")
+    c = Catalog(Files(spark), str(path), stale_limit=1000)
+    assert c.open().top_id == 80 and not (path / ".leftover.tmp").exists()
+    c.edit([add(90)])
+    c.edit([add(91)])
+    last = sorted(path.glob("*.edit.jsonl"))
+    last[-1].write_bytes(last[-1].read_bytes() + b'{"op": 1, "table": {"id"')
+    (path / f".{last[-1].name}.crc").unlink(missing_ok=True)
+    assert Catalog(Files(spark), str(path)).open().top_id == 91  # a torn line is cut
+    with pytest.raises(Corrupt):
+        parse(b'{"op": 2, "table": {"id": 1}}\n{not-json}\n')
+    last[-2].unlink()
     with pytest.raises(Corrupt):
-        parse(b'{"op": 2, "table": {"id": 1}}\n{not-json}\n' + whole)
+        Catalog(Files(spark), str(path)).open()
 
 
 def test_compacts_until_no_level_is_over_its_target(spark, tmp_path):
