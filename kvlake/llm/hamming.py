@@ -13,6 +13,11 @@ however close the codes lie, and the answers of all blocks are merged by one
 more top-k. Equal query codes are searched once, and of equal codes only the k
 smallest ids take part, which no query can exceed.
 
+A segment has about as many values as a block has codes (16 bits, 262,144 codes),
+so a bucket holds a few codes and a query of random codes verifies about a tenth of
+a block. Blocks are large so that few copies are sent: each code goes to every
+block of queries, each query to every block of codes.
+
 Ties go to the smaller id. Null or short vectors have no code: they are
 neither queries nor answers. Rows without an id are no answers. Repeated rows
 are answers of their own. An empty table gives an empty result.
@@ -40,7 +45,7 @@ class Index:
 
     def __init__(self, codes: np.ndarray, ids: np.ndarray, bits: int, segments: int):
         self.codes, self.ids, self.segments, self.width = codes, ids, segments, bits // segments
-        self.size = 1 << self.width
+        self.size, self.verified = 1 << self.width, 0
         self.values = [self._part(codes, s) for s in range(segments)]
         self.order = [np.argsort(v, kind="stable") for v in self.values]
         self.starts = [np.concatenate([[0], np.cumsum(np.bincount(v, minlength=self.size))]) for v in self.values]
@@ -57,7 +62,10 @@ class Index:
         for r in range(self.width + 1):
             for s in range(self.segments):
                 near = int(self._part(code, s)) ^ self.masks[r]
-                found = np.concatenate([self.order[s][self.starts[s][v] : self.starts[s][v + 1]] for v in near])
+                begin = self.starts[s][near]
+                count = self.starts[s][near + 1] - begin
+                upto = np.cumsum(count)
+                found = self.order[s][np.repeat(begin - (upto - count), count) + np.arange(upto[-1])]
                 found = found[far[found] == 255]
                 if len(found):
                     d = np.bitwise_count(self.codes[found] ^ code)
@@ -69,25 +77,31 @@ class Index:
             else:
                 continue
             break
+        self.verified += int(seen.sum())
         kth = np.searchsorted(np.cumsum(seen), min(k, seen.sum()))
         best = np.flatnonzero(far <= min(kth, 254))
         best = best[np.lexsort((self.ids[best], far[best]))][:k]
         return self.ids[best], far[best].astype(np.int32)
 
 
-def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, segments: int = 8, code_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def top_k(queries: DataFrame, codes: DataFrame, k: int = 10, bits: int = 64, segments: int = 4, code_block: int = 262_144, query_block: int = 8_192) -> DataFrame:
     """query_id, rank (from 1), id and distance of the k nearest codes of each query.
 
     queries: (query_id, code); codes: (id, code). Rows without a code are left out.
     """
+    spark = codes.sparkSession
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     entries, _ = saved(codes.filter("code is not null and id is not null").withColumn("n", nth).filter(F.col("n") <= k).select("id", "code"))
     asked, _ = saved(queries.filter("code is not null").select("query_id", "code"))
     distinct = asked.select(F.col("code").alias("q")).distinct()
-    n_codes, n_queries = -(-entries.count() // code_block) or 1, -(-distinct.count() // query_block) or 1
+    n_codes, n_asked = -(-entries.count() // code_block) or 1, distinct.count()
+    # with few blocks of codes, smaller blocks of queries keep all cores busy
+    n_queries = max(-(-n_asked // query_block), min(-(-n_asked // 64), -(-4 * spark.sparkContext.defaultParallelism // n_codes))) or 1
     block = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(n)).cast("int")
-    rows = entries.withColumn("cb", block("id", n_codes)).withColumn("qb", F.expr(f"explode(sequence(0, {n_queries - 1}))"))
-    probes = distinct.withColumn("qb", block("q", n_queries)).withColumn("cb", F.expr(f"explode(sequence(0, {n_codes - 1}))"))
+    # pairs of blocks are dealt by number, four places for each, so that they do not crowd in few tasks
+    tasks = min(4 * n_codes * n_queries, max(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = entries.withColumn("cb", block("id", n_codes)).withColumn("qb", F.expr(f"explode(sequence(0, {n_queries - 1}))")).repartition(tasks, "qb", "cb")
+    probes = distinct.withColumn("qb", block("q", n_queries)).withColumn("cb", F.expr(f"explode(sequence(0, {n_codes - 1}))")).repartition(tasks, "qb", "cb")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["q", "id", "distance"]

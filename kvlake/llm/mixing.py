@@ -7,7 +7,13 @@ documents are taken in hash order to the nearest half document. The block
 draws of all sources are split over output shards by a binary tree: at each
 node a multivariate hypergeometric draw decides how many of each source's
 draws go left, so each shard is a random sample without replacement of all
-draws, and the shards are disjoint. Rows are shuffled by hash within a shard.
+draws, and the shards are disjoint. ``mixed_rows`` writes out the copies and
+shuffles them by hash within their shard.
+
+Words are counted once and saved with id and source; sums, blocks and the
+place where a source's target falls are found on that narrow table. Whole rows
+are then decided by broadcast tables alone: the plan of the blocks and one
+cut for each source.
 
 What the driver holds is bounded: a row per source (``max_sources``) and one
 per block (``max_blocks`` in all, plus one per source). All randomness comes
@@ -21,9 +27,11 @@ drawn together, each counted. An empty table gives an empty mix.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.llm.store import remove, saved
+
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 
@@ -64,46 +72,66 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 20, max_blocks: int = 65_536, max_sources: int = 100_000, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs with a struct column ``mix``: size, source_size, target, taken and shards (one entry for each copy taken)."""
-    spark = docs.sparkSession
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col(key))
-    per_source = docs.groupBy(F.col(source).alias("source")).agg(F.sum(words).alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-    if len(per_source) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in per_source]
-    goal = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(sizes))])
-    total = max(1, sum(sizes))
-    n_blocks = [max(1, min(r["docs"] // 4, max_blocks * r["size"] // total)) for r in per_source]
-    head = spark.createDataFrame(
-        [(r["source"], i, r["size"], goal[i], n_blocks[i]) for i, r in enumerate(per_source)],
-        "source string, nth int, source_size long, target double, n_blocks int",
-    )
-    s = docs.select("*", F.col(source).alias("__source"), words.alias("__size"), draw.alias("__draw")).join(
-        F.broadcast(head.select(*[F.col(c).alias(f"__h_{c}") for c in head.columns])), F.col("__source").eqNullSafe(F.col("__h_source")), "left"
-    )
-    s = s.withColumn("__block", F.pmod(F.col("__draw"), F.col("__h_n_blocks")).cast("int"))
-    blocks = s.groupBy(F.col("__h_nth").alias("nth"), F.col("__block").alias("block")).agg(F.sum("__size").alias("size")).toPandas()
-    plan = _plan(blocks, sizes, goal, n_blocks, shards, seed)
-    planned = spark.createDataFrame(plan, "__p_nth int, __p_block int, __p_shards array<int>, __p_edge double, __p_edge_shard int")
-    s = s.join(F.broadcast(planned), (F.col("__h_nth") == F.col("__p_nth")) & (F.col("__block") == F.col("__p_block")), "left")
-    whole = s.filter("__p_edge is null").withColumn("__shards", F.coalesce("__p_shards", F.array().cast("array<int>")))
-    order = Window.partitionBy("__h_nth").orderBy("__draw", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    within = F.sum("__size").over(order) - F.col("__size") / 2 <= F.col("__p_edge")
-    edge = s.filter("__p_edge is not null").withColumn("__shards", F.when(within, F.array_append("__p_shards", F.col("__p_edge_shard"))).otherwise(F.col("__p_shards")))
-    out = whole.unionByName(edge).withColumn(
-        "mix",
-        F.struct(
-            F.col("__size").alias("size"),
-            F.col("__h_source_size").alias("source_size"),
-            F.col("__h_target").alias("target"),
-            (F.col("__size") * F.size("__shards")).alias("taken"),
-            F.col("__shards").alias("shards"),
-        ),
-    )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], "mix")
+def _words(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+class Mix:
+    """The plan of a mix: what each source, block and edge contributes."""
+
+    def __init__(self, sized: DataFrame, shards: int, seed: int, max_blocks: int, max_sources: int):
+        """sized: source, size and draw (a hash of the id) of every row."""
+        spark = sized.sparkSession
+        per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
+        if len(per_source) > max_sources:
+            raise ValueError(f"more than {max_sources} sources")
+        per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+        sizes = [r["size"] for r in per_source]
+        goal = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(sizes))])
+        total = max(1, sum(sizes))
+        n_blocks = [max(1, min(r["docs"] // 4, max_blocks * r["size"] // total)) for r in per_source]
+        self.head = spark.createDataFrame(
+            [(r["source"], i, r["size"], goal[i], n_blocks[i]) for i, r in enumerate(per_source)],
+            "__h_source string, __h_nth int, __h_size long, __h_target double, __h_blocks int",
+        )
+        self.plan, self.cuts = None, None
+        dealt = self._blocks(sized)
+        blocks = dealt.groupBy(F.col("__h_nth").alias("nth"), F.col("__block").alias("block")).agg(F.sum("size").alias("size")).toPandas()
+        rows = _plan(blocks, sizes, goal, n_blocks, shards, seed)
+        self.plan = spark.createDataFrame(rows, "__p_nth int, __p_block int, __p_shards array<int>, __p_edge double, __p_edge_shard int")
+        # the last draw that a source's edge takes: equal draws are taken together
+        edge = self._planned(dealt).filter("__p_edge is not null").groupBy("__h_nth", "__p_edge", "draw", "size").agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("__h_nth").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0))
+        within = edge.withColumn("upto", upto).filter(F.col("upto") - F.col("words") / 2 <= F.col("__p_edge"))
+        cuts = within.groupBy("__h_nth").agg(F.max(F.struct("draw", "size")).alias("c")).collect()  # a row a source
+        self.cuts = spark.createDataFrame([(r["__h_nth"], r["c"]["draw"], r["c"]["size"]) for r in cuts], "__c_nth int, __c_draw long, __c_size long")
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(self.head), F.col("source").eqNullSafe(F.col("__h_source")), "left")
+        return out.withColumn("__block", F.pmod(F.col("draw"), F.col("__h_blocks")).cast("int"))
+
+    def _planned(self, dealt: DataFrame) -> DataFrame:
+        return dealt.join(F.broadcast(self.plan), (F.col("__h_nth") == F.col("__p_nth")) & (F.col("__block") == F.col("__p_block")), "left")
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows (source, size, draw and others) with struct ``mix``."""
+        out = self._planned(self._blocks(rows)).join(F.broadcast(self.cuts), F.col("__h_nth") == F.col("__c_nth"), "left")
+        taken = F.col("__p_edge").isNotNull() & F.coalesce(F.struct("draw", "size") <= F.struct("__c_draw", "__c_size"), F.lit(False)) & F.col("__c_nth").isNotNull()
+        shards = F.coalesce(F.when(taken, F.array_append("__p_shards", F.col("__p_edge_shard"))).otherwise(F.col("__p_shards")), F.array().cast("array<int>"))
+        mix = F.struct(F.col("size"), F.col("__h_size").alias("source_size"), F.col("__h_target").alias("target"), (F.col("size") * F.size(shards)).alias("taken"), shards.alias("shards"))
+        own = [c for c in out.columns if not c.startswith(("__h_", "__p_", "__c_", "__block"))]
+        return out.select(*own, mix.alias("mix"))
+
+
+def _sized(docs: DataFrame, seed: int, text: str, source: str, key: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), _words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key)).alias("draw"), *more)
+
+
+def mix(docs: DataFrame, shards: int = 16, seed: int = 20, max_blocks: int = 8_192, max_sources: int = 100_000, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """(key, source, mix) of every row of docs; mix: size, source_size, target, taken and shards (one entry for each copy taken)."""
+    sized, _ = saved(_sized(docs, seed, text, source, key))
+    decided = Mix(sized, shards, seed, max_blocks, max_sources).apply(sized)
+    return decided.select(F.col("key").alias(key), F.col("source").alias(source), "mix")
 
 
 def _plan(blocks, sizes: list[int], goal: list[float], n_blocks: list[int], shards: int, seed: int) -> list[tuple]:
@@ -142,12 +170,18 @@ def _plan(blocks, sizes: list[int], goal: list[float], n_blocks: list[int], shar
     return out
 
 
-def mixed_rows(docs: DataFrame, seed: int = 20, key: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 20, max_blocks: int = 8_192, max_sources: int = 100_000, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mix itself: docs' columns, ``mix_shard`` and ``mix_order``, one row for each copy taken.
 
-    ``mix_order`` is a hash by which rows lie shuffled within their shard.
+    Rows lie in order of ``mix_shard`` and, in a shard, of ``mix_order``, a hash: each partition is a range of that order, so
+    written as files they are the shuffled shards one after the other.
     """
-    taken = mix(docs, seed=seed, key=key, **options)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix", "mix_shard", "mix_order")]
-    out = taken.select(*own, F.posexplode("mix.shards").alias("__copy", "mix_shard"))
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(key), F.col("__copy"))).drop("__copy")
+    narrow, path = saved(_sized(docs, seed, text, source, key))
+    decided = Mix(narrow, shards, seed, max_blocks, max_sources)
+    remove(docs.sparkSession, path)
+    taken = decided.apply(_sized(docs, seed, text, source, key, F.struct("*").alias("row")))
+    out = taken.select("row", "key", F.posexplode("mix.shards").alias("copy", "mix_shard"))
+    out = out.withColumn("mix_order", F.xxhash64(F.lit(seed), "key", "copy")).select("row", "mix_shard", "mix_order")
+    spread = out.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("mix_shard", "mix_order")]
+    return spread.select(*own, "mix_shard", "mix_order")
