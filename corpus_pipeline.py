@@ -39,7 +39,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, shuffled by hash."""
+    """Documents as often as the mix of sources takes them; rows lie by output shard and shuffled within it, which the written files keep."""
     return mixing.mixed_rows(docs).select(*docs.columns)
 
 
