@@ -8,8 +8,8 @@ what follows a gazetteer word (a quoted string, grouped digits or letters, or a
 run without spaces) or an assignment (a run without spaces). Labelers vote on
 each candidate:
 
-- regex: shapes of keys and hex strings (yes), words with a short number, plain words and short numbers (no);
-- gazetteer: a word for a credential or account shortly before it (yes);
+- regex: shapes of keys, hex strings and checked account numbers (yes), words with a number behind them, plain words and short numbers (no);
+- gazetteer: a word for a credential, an account, a bank or a document shortly before it (yes);
 - context: an assignment right before it (yes), running words (no);
 - mixture: the share of digits;
 - extent: the length.
@@ -20,11 +20,17 @@ those of regex, context and extent if it has a digit.
 
 Votes of all candidates are counted by pattern (a few hundred rows at most).
 Expectation-maximisation over these counts estimates each labeler's
-reliability for both classes. Its posteriors train the final span classifier, a logistic
+reliability for both classes. It is anchored: a candidate that neither regex,
+gazetteer nor context votes for is not personal, whatever the others say, and each
+labeler has a prior of ``PRIOR`` votes that it is right more often than not. So a
+corpus without personal data makes no class of it. The posteriors train the final span classifier, a logistic
 regression over vote and shape features, which is applied as one SQL
 expression. Candidates it accepts are added as kind ``secret``, or ``number``
 where they have digits (and separators of groups) only; a token that meets an
-accepted longer candidate is left to that one.
+accepted longer candidate is left to that one. Names of people and places are
+not sought.
+
+Candidates are found once and saved with the columns that the caller keeps.
 
 Null texts count as empty; other columns stay as they are (one that has the
 name of the output column is replaced). Repeated rows are treated alike. An empty table trains nothing
@@ -35,10 +41,13 @@ time and without deep recursion.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.llm.store import saved
+
 #: Base kinds in order.
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the stated patterns. \G and the look-behind only skip starts that cannot be leftmost, possessive
@@ -47,12 +56,30 @@ _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "phone": r"\+[0-9](?:[0-9](?:[\x20().-]*+[0-9])++|[\x20().-]++[0-9](?:[\x20().-]*+[0-9])*+)",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EXTRA = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{8,}+"
-#: Gazetteer: words for what follows them.
-GAZETTEER = ("password", "passwd", "token", "secret", "apikey", "api_key", "key", "iban", "ssn", "account", "konto", "cuenta", "compte", "contraseña", "passwort")
+#: Gazetteer, fixed values: words (English, German, French, Spanish) for what follows them.
+CREDENTIALS = (
+    "password", "passwd", "passphrase", "passcode", "pin", "token", "secret", "apikey", "api_key", "api-key", "access_key", "private_key", "client_secret", "auth", "bearer", "credential", "key",
+    "passwort", "kennwort", "geheimnis", "schlüssel", "zugangscode",
+    "mot de passe", "clé", "jeton", "code secret", "code d'accès",
+    "contraseña", "clave", "llave", "código de acceso",
+)
+ACCOUNTS = (
+    "account", "account number", "iban", "bic", "swift", "routing number", "sort code", "bank", "card number", "customer number", "member id", "policy number",
+    "konto", "kontonummer", "bankleitzahl", "kundennummer", "mitgliedsnummer", "versicherungsnummer",
+    "compte", "numéro de compte", "banque", "numéro client",
+    "cuenta", "número de cuenta", "banco", "número de cliente",
+)
+DOCUMENTS = (
+    "ssn", "social security number", "passport", "passport number", "driving licence", "license number", "tax id", "national id", "patient id",
+    "ausweis", "ausweisnummer", "reisepass", "führerschein", "steuernummer", "sozialversicherungsnummer",
+    "passeport", "numéro de passeport", "numéro de sécurité sociale", "permis de conduire", "numéro fiscal",
+    "pasaporte", "dni", "nie", "nif", "número de seguridad social", "licencia de conducir",
+)
+GAZETTEER = CREDENTIALS + ACCOUNTS + DOCUMENTS
 _WORDS = "(?:" + "|".join(sorted(GAZETTEER, key=len, reverse=True)) + ")"
 _LINK = r"(?:\s(?:is|was|no\.?|nr\.?|number|ist|es|est))?+"
 #: A run without spaces; marks at its end belong to the sentence.
@@ -67,7 +94,7 @@ _FOLLOWS = (
     rf"|({_ASSIGN}[\x20\t]{{0,4}}+[\x22']?+)(?![a-z]*+:?//)({_RUN})"
 )
 _A, _B = "\u0001", "\u0002"
-_CONTEXT = 40
+_CONTEXT = 48
 
 
 def _clean(text: Column) -> Column:
@@ -108,6 +135,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
+def _iban(m: Column) -> Column:
+    """Whether an account number of letters and digits passes its check: the remainder by 97 is 1."""
+    plain = F.regexp_replace(m, "[^A-Z0-9]", "")
+    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.substring(turned, i, F.lit(1))
+        value = F.when(c >= "A", F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
+        return (F.when(value > 9, rest * 100).otherwise(rest * 10) + value) % 97
+
+    return F.length(plain).between(15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1)
+
+
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -156,18 +196,24 @@ def _with_matches(docs: DataFrame, text: str) -> DataFrame:
 #: Features of a candidate (match, before): votes are 1 (yes), 0 (no) or -1 (abstains); shapes are small numbers.
 VOTES = ("regex", "gazetteer", "context", "mixture", "extent")
 SHAPES = ("length", "upper", "letters")
+#: Places in VOTES of the labelers of which one must vote for a candidate, and the votes' prior weight.
+ANCHORS = (0, 1, 2)
+PRIOR = 20.0
+#: P(vote | class) before any data, for abstaining, no and yes, by class.
+_BELIEF = {0: {-1: 0.4, 0: 0.45, 1: 0.15}, 1: {-1: 0.4, 0: 0.1, 1: 0.5}}
 
 
 def _features(x: Column) -> dict[str, Column]:
     m, before = x["match"], F.lower(x["before"])
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    account = F.when(m.rlike("^[A-Z]{2}[0-9]{2}[\\x20A-Z0-9-]{11,40}$"), _iban(m)).otherwise(False)
     yes, no, none = F.lit(1), F.lit(0), F.lit(-1)
     named = before.rlike(rf"(?:{_WORDS}[\"']?{_LINK}\W{{0,12}}|{_WORDS}\W{{0,4}})$")
     assigned = before.rlike(r"[=:]>?\s{0,4}[\"']?$")
     told, given = named & (assigned | (digits > 0)), named & assigned
     return {
-        "regex": F.when(m.rlike("^(?:[0-9a-f]{16,}|[A-Z]{4}[A-Z0-9]{12,}|[0-9]{10,})$"), yes)
-        .when(~told & m.rlike(r"^(?:[A-Za-z]{5,}_?[0-9]{1,3}|\p{L}+|[0-9.,:/%-]{1,7})$"), no)
+        "regex": F.when(m.rlike("^(?:(?=.*[0-9])[0-9a-f]{16,}|(?=.*[0-9])[A-Z]{4}[A-Z0-9]{12,}|[0-9]{10,})$") | account, yes)
+        .when(~told & m.rlike(r"^(?:\p{L}+[_-]?[0-9]{1,8}|\p{L}+|[0-9.,:/%-]{1,7}|[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}.*)$"), no)
         .otherwise(none),
         "gazetteer": F.when(named, yes).otherwise(none),
         "context": F.when(assigned & (named | (F.length(m) >= 8)), yes).when(~told & before.rlike(r"[a-z,] $"), no).otherwise(none),
@@ -180,34 +226,35 @@ def _features(x: Column) -> dict[str, Column]:
 
 
 def em(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[list[float], float, list[list[dict[int, float]]]]:
-    """Posterior of 'personal' for each vote pattern, the prior, and P(vote | class) of each labeler and class.
+    """Posterior of 'personal' for each vote pattern, the class's share, and P(vote | class) of each labeler and class.
 
-    Starts from the majority of the votes; counts are smoothed by one half.
+    Starts from the majority of the votes. A pattern without a vote by an anchor stays at 0.
     """
+    sure = [any(votes[k] == 1 for k in ANCHORS) for votes, _ in counts]
     post = []
-    for votes, _ in counts:
+    for (votes, _), may in zip(counts, sure, strict=True):
         cast = [v for v in votes if v >= 0]
-        post.append((sum(cast) + 0.5) / (len(cast) + 1))
+        post.append((sum(cast) + 0.5) / (len(cast) + 1) if may else 0.0)
     total = sum(n for _, n in counts)
-    prior, rates = 0.5, []
+    share, rates = 0.5, []
     for _ in range(rounds):
         weight = [sum(n * (p if c else 1 - p) for (_, n), p in zip(counts, post, strict=True)) for c in (0, 1)]
-        prior = min(max(weight[1] / total, 1e-6), 1 - 1e-6)
+        share = (weight[1] + 1) / (total + 2)
         rates = []
         for k in range(len(VOTES)):
             of = []
             for c in (0, 1):
-                seen = {v: 0.5 for v in (-1, 0, 1)}
+                seen = {v: PRIOR * _BELIEF[c][v] for v in (-1, 0, 1)}
                 for (votes, n), p in zip(counts, post, strict=True):
                     seen[votes[k]] += n * (p if c else 1 - p)
                 whole = sum(seen.values())
                 of.append({v: x / whole for v, x in seen.items()})
             rates.append(of)
         post = []
-        for votes, _ in counts:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(votes))
-            post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-    return post, prior, rates
+        for (votes, _), may in zip(counts, sure, strict=True):
+            odds = math.log(share / (1 - share)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(votes))
+            post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))) if may else 0.0)
+    return post, share, rates
 
 
 def _inputs(row: dict[str, int]) -> list[float]:
@@ -247,15 +294,17 @@ def _score(x: Column, w: list[float]) -> Column:
     return sum(terms, F.lit(w[0]))
 
 
-def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
-    """docs with one more column: array<struct<start, nth, end, kind>> in order of start, then kind; base kinds have nth 0 to 3."""
-    found = _with_matches(docs.select(F.col(text).alias("text")), "text")
-    each = found.filter(F.size("__extra") > 0).select(F.explode("__extra").alias("x"))
+def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", keep_text: bool = True) -> DataFrame:
+    """docs with one more column: array<struct<start, nth, end, kind>> in order of start, then kind; base kinds have nth 0 to 3. Without ``keep_text`` the text column goes."""
+    df = _with_matches(docs, text)
+    df, _ = saved(df if keep_text else df.drop(text))
+    each = df.filter(F.size("__extra") > 0).select(F.explode("__extra").alias("x"))
     counted = each.select(*[c.alias(k) for k, c in _features(F.col("x")).items()]).groupBy(*VOTES, *SHAPES).agg(F.count("*").alias("n"))
     weights = train(sorted((r.asDict() for r in counted.collect()), key=lambda r: sorted(r.items())))
-    df = _with_matches(docs, text)
     kind = F.create_map(*[x for n, k in enumerate((*KINDS, "secret", "number")) for x in (F.lit(n), F.lit(k))])
-    df = _once(df, __extra=F.filter("__extra", lambda x: _score(x, weights) >= 0))
+    # a candidate that no anchor votes for is never added
+    voted = lambda x: reduce(Column.__or__, [_features(x)[VOTES[k]] == 1 for k in ANCHORS])
+    df = _once(df, __extra=F.filter("__extra", lambda x: voted(x) & (_score(x, weights) >= 0)))
     whole = lambda x: x["follows"] | ~F.exists("__extra", lambda y: y["follows"] & (y["start"] < x["end"]) & (x["start"] < y["end"]))
     more = F.transform(
         F.filter("__extra", whole),

@@ -21,7 +21,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("pii", lambda s: s["nth"] < len(pii.KINDS))
     counts = [F.size(pii.of_kind(F.col("pii"), n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))

@@ -26,7 +26,7 @@ PERSONAL = [
     None, "", "mail a.b@c.example.com, a@b.c_d@e.f or x@y and @z.w", "1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.002.003.004 12.1.1.999",
     "card 4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111,4012888888881881", "call +1 (415) 555-0100 or +49.30.123456 or +1 2 +123456789",
     "é😀 a@b.co 10.0.0.1\u0001\u0002 x@y.z", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "password=45bb0d53635bf1b89d now",
-    "1 22 333 " * 3000, "9" * 40000, "a@b" + ".c" * 20000, "q" * 50000 + "@", "word12345 mixed1 version2023x plain",
+    "1 22 333 " * 3000, "9" * 40000, "a@b" + ".c" * 20000, "q" * 50000 + "@", "+1 " * 30000 + "+12 +1-2 +1--22 +(1)2 +1(2)3456789.", "+" + "1-" * 40000, "word12345 mixed1 version2023x plain",
 ]
 
 
@@ -83,6 +83,52 @@ def test_secrets_as_usually_written(spark):
     assert all(b not in redacted[i] for i, _, b, _ in rows if b)
 
 
+CLEAN = [
+    "see version20231 of libfoo123 and mp3player2 build20240101 now", "chapter12 and figure2023 on page1234", "room b4h2k9 of the hotel", "on 2024-01-31 we met at 12:30:45", "the year2024 model x100 and route66",
+    "file_name_01 in folder_2023", "the bank of the river 20 metres wide", "word a1b2c3 and utf8string",
+]
+
+
+def test_clean_corpus_stays_clean(spark):
+    """Without any personal data the model makes no class of it."""
+    df = spark.createDataFrame([(i, f"{t} number {i}") for i, t in enumerate(CLEAN * 30)], "doc_id long, text string")
+    assert [r["text"] for r in pii.find_pii(df).filter(F.size("pii") > 0).collect()] == []
+
+
+def test_planted_secrets_are_found(spark):
+    """Precision and recall over planted secrets of many shapes, mixed with clean text; the other spans stay out."""
+    r = random.Random(8)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    mixed = lambda n: "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n)) + "9x"
+
+    def iban():
+        body = "".join(r.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check:02d}{body}"
+
+    shapes = [
+        ("", lambda: hexes(40)), ("token = ", lambda: mixed(24)), ("password: ", lambda: r.choice(["hunter2", "correct-horse", "Tr0ub4dor&3"])), ("passport ", lambda: "C0" + str(r.randrange(10**6, 10**7))),
+        ("IBAN ", iban), ("", iban), ("Kontonummer: ", lambda: str(r.randrange(10**9, 10**10))), ("contraseña=", lambda: mixed(9)), ("mot de passe : ", lambda: "soleil" + str(r.randrange(100))),
+        ("ssn ", lambda: f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}"),
+    ]
+    words = lambda n: " ".join(r.choice(["river", "stone", "walk", "the", "of", "mp3player2", "chapter12", "año", "straße"]) for _ in range(n))
+    rows, planted = [], set()
+    for i in range(600):
+        if i % 3:
+            rows.append((i, f"{words(9)} {r.choice(CLEAN)} {words(4)}"))
+            continue
+        before, make = shapes[i // 3 % len(shapes)]
+        head, secret = f"{words(6)} {before}", make()
+        rows.append((i, f"{head}{secret} {words(5)}"))
+        planted.add((i, len(head), len(head) + len(secret)))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(x["doc_id"], s["start"], s["end"]) for x in found.collect() for s in x["pii"] if s["nth"] > 3}
+    base = {(x["doc_id"], s["start"], s["end"]) for x in found.collect() for s in x["pii"] if s["nth"] <= 3}
+    planted -= base
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.9 * len(got)
+    assert not {i for i, *_ in got} & {i for i, _ in rows if i % 3}
+
+
 def test_long_runs_after_assignments(spark):
     long = ["password=" + "a." * 30000 + "z", "k=" * 2000, 'token="' * 2000, "key " * 2000, "account 1" + " 1" * 30000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
