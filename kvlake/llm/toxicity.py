@@ -1,14 +1,21 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is read in overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, to
-its end. A word's input joins a word embedding and the mean embedding of its
+its end, so passages of up to nine words lie whole in some window, and longer
+ones are read in two. A word's input joins a word embedding and the mean embedding of its
 characters' n-grams (its first four, five and six bytes and its last three),
-all by hash. A forward and a backward gated recurrent layer read the window,
+all by hash; other inner n-grams are not read. A forward and a backward gated recurrent layer read the window,
 attention weighs the states, and a logistic unit scores their mean. The
 score of a text is the largest of its windows' scores.
 
+All inner units squash by the softsign x / (1 + |x|) in place of the hyperbolic
+tangent, which is several times faster in numpy; gates map it to 0..1. Eight
+hidden units a direction are enough here, as a window's verdict rests on a few of its words:
+held-out accuracy is in the README.
+
 Training sees labels of whole texts only: a text is toxic if any window is, so
-the loss is a noisy-or over its windows. The training sample is bounded by
+the loss is a noisy-or over its windows. Words and n-grams that only one
+training text holds are not read. The training sample is bounded by
 ``max_train`` texts, half of each class, drawn by hash among the labelled rows that
 the caller allows; whole texts are used. The model is a few hundred kilobytes
 and is broadcast. Scores depend on the text alone.
@@ -206,9 +213,22 @@ class Network:
         g["char"] = (ids[:, 1:].ravel(), np.repeat(dx[:, WORD_DIM:] / N_GRAMS, N_GRAMS, axis=0))
         return float(loss.mean()), g
 
+    def keep_common(self, texts: list[bytes], least: int = 2) -> dict[str, np.ndarray]:
+        """Which rows of the embeddings ``least`` texts share; all others become zero, as what one text alone holds cannot tell about others."""
+        seen = {"word": np.zeros(WORD_ROWS, np.int32), "char": np.zeros(CHAR_ROWS, np.int32)}
+        for t in texts:
+            ids, _, _ = word_ids([t])
+            seen["word"][np.unique(ids[:, 0])] += 1
+            seen["char"][np.unique(ids[:, 1:])] += 1
+        common = {k: n >= least for k, n in seen.items()}
+        for k, some in common.items():
+            self.p[k][~some] = 0
+        return common
+
     def fit(self, texts: list[bytes], labels: list[int], steps: int = 260, batch: int = 24, rate: float = 0.03, seed: int = 5) -> list[float]:
         """Adam over shuffled batches of whole texts, for as many epochs as make ``steps``; half of the words hide their word embedding, so that characters count. Mean loss of each epoch."""
         r, y = np.random.default_rng(seed), np.array(labels)
+        common = self.keep_common(texts)
         first, second, step, losses = {}, {}, 0, []
         n = max(1, len(texts) // batch)
         for _ in range(-(-steps // n)):
@@ -228,6 +248,8 @@ class Network:
                         d = total
                     else:
                         rows = slice(None)
+                    if k in common:
+                        d = d * common[k][rows][:, None]
                     m, v = first.setdefault(k, np.zeros_like(self.p[k])), second.setdefault(k, np.zeros_like(self.p[k]))
                     m[rows] = 0.9 * m[rows] + 0.1 * d
                     v[rows] = 0.999 * v[rows] + 0.001 * d * d

@@ -2,8 +2,8 @@
 
 Longest match: of all rules that fit, the one with the most host labels wins,
 then the one with the longest path; of two rules for the same host and path
-``block`` wins. Rules are a configuration list, checked against ``max_rules``
-before they are broadcast.
+``block`` wins. Rules are a configuration list; its length is checked against
+``max_rules``, and the trie's size against ``max_bytes``, before it is broadcast.
 
 Null and malformed urls (no ``://``) have an empty host and path and fit no
 rule. Repeated rows are judged each for itself; other columns pass through
@@ -12,6 +12,7 @@ untouched unless an output column replaces one of the same name.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -81,7 +82,7 @@ class Trie:
         return best
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "allow", url: str = "url", max_rules: int = 1_000_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "allow", url: str = "url", max_rules: int = 1_000_000, max_bytes: int = 256 << 20) -> DataFrame:
     """Add host, path, rule (null where none fits) and verdict to every row of pages.
 
     ``rules``: (verdict, "host/path") pairs. A rule fits its host and all
@@ -90,7 +91,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str
     rules = list(rules)
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; a broadcast trie takes {max_rules} at most")
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
+    built = Trie(rules)
+    if (size := len(pickle.dumps(built))) > max_bytes:
+        raise ValueError(f"a trie of {size} bytes; {max_bytes} at most are broadcast")
+    trie = pages.sparkSession.sparkContext.broadcast(built)
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

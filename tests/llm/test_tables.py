@@ -1,15 +1,22 @@
 """Search, url filters, mixing, shards, the registered queries and the pipeline."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pytest
 from common import SCHEMA, WORDS, documents, empty, rows
 from pyspark.sql import functions as F
+from test_dedup import brute_components
+from test_texts import toxic_rows
+from tokenizers import Tokenizer
 
 import __spark_entry__
 from kvlake.llm import hamming, mixing, sharding, url_filter
+from kvlake.llm.store import saved
 
 
 def test_top_k(spark):
@@ -32,8 +39,6 @@ def test_top_k(spark):
 
 def test_search_verifies_a_small_share():
     """Of a block of random codes, a query verifies about a tenth; the answers are exact."""
-    import numpy as np
-
     r = np.random.default_rng(6)
     codes = r.integers(0, 2**64, 1 << 16, dtype=np.uint64)
     index = hamming.Index(codes, np.arange(len(codes)), 64, 4)
@@ -73,8 +78,11 @@ def test_urls(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["verdict"], got[i]["rule"]) == (host, path, *brute_rule(host, path)), u
     assert (got[6]["host"], got[6]["path"], got[9]["host"], got[9]["path"], got[14]["path"]) == ("www.example.net", "/en/1", "org", "", "")
     assert url_filter.judge_urls(df.limit(0), RULES).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(df, RULES, max_rules=2)
+    for limit in ({"max_rules": 2}, {"max_bytes": 100}):
+        with pytest.raises(ValueError):
+            url_filter.judge_urls(df, RULES, **limit)
+    clash = url_filter.judge_urls(df.withColumns({"host": F.lit(1), "verdict": F.lit(2)}), RULES)
+    assert {r["page_id"]: r["verdict"] for r in clash.collect()} == {i: r["verdict"] for i, r in got.items()}
 
 
 def test_targets():
@@ -120,8 +128,6 @@ def test_repeated_rows_are_drawn_together(spark):
 
 
 def test_splitting_tree_shares_all_draws():
-    import numpy as np
-
     leaf = mixing.split_tree(np.array([1000, 10, 0, 57]), 7, 3)
     assert leaf.sum(axis=0).tolist() == [1000, 10, 0, 57] and leaf.min() >= 0 and np.ptp(leaf.sum(axis=1)) <= 3
 
@@ -187,17 +193,54 @@ def test_every_operator_has_a_query():
 
 
 def test_pipeline(spark, tmp_path):
-    data = [(i, t and f"{t} mail me{i}@example.com", *x) for i, (_, t, *x) in enumerate(rows()[:-2])]
-    spark.createDataFrame(data, SCHEMA).withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    """Every stage and the whole run against plain Python, over planted toxic documents, copies and personal data."""
+    toxic = toxic_rows(700)
+    data = [(i, f"{t} mail me{i}@example.com", "en", f"s{i % 3}") for i, t, _ in toxic]
+    data += [(5000 + i, f"{t} mail me{i}@example.com", "en", "s1") for i, t, bad in toxic[:60] if not bad]
+    data += [(8000 + i, t and f"{t} 10.0.0.{i}", lang, source) for i, t, lang, source, _ in rows()[:-2]]
+    docs = spark.createDataFrame([(*x, None if x[1] is None else len(x[1])) for x in data], SCHEMA).withColumn("extra", F.lit(1))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, bad) for i, _, bad in toxic], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = docs
+    bad = {i for i, _, y in toxic if y}
+    kept, folder = docs, str(tmp_path)
+    texts_of = lambda df: {r[0]: r[1] for r in df.select("doc_id", "text").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, str(tmp_path))
+        before = texts_of(kept)
+        kept, _ = saved(stage(spark, kept, folder))
         assert kept.columns == docs.columns, name
+        after = texts_of(kept)
+        if name == "toxicity":
+            clean = {i for i, _, y in toxic if not y}  # of the labelled kind; others are of another vocabulary
+            assert len(bad & set(after)) <= 0.05 * len(bad) and len(clean - set(after)) <= 0.02 * len(clean)
+        if name == "near_dedup":
+            assert set(after) == {i for i, _, _, own in brute_components(list(before.items())) if own}
+            assert not any(i + 5000 in after for i in after)
         if name == "pii":
-            assert kept.filter(F.col("text").contains("@example.com")).count() == 0
-            assert kept.filter(F.length("text") != F.col("n_chars")).count() == 0
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").distinct().collect()}
-    assert packed.filter("piece = 0").count() == kept.count()
+            assert set(after) == set(before) and kept.filter(F.length("text") != F.col("n_chars")).isEmpty()
+            for i, t in before.items():
+                assert t is None or ("@example.com" not in after[i] and f"10.0.0.{i - 8000}" not in after[i])
+                assert t is None or i < 5000 or after[i].startswith(t.rsplit(" ", 1)[0][:20])
+        if name == "mixing":
+            assert set(after) <= set(before) and max(r["count"] for r in kept.groupBy("doc_id").count().collect()) <= 3
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, text in ((r[0], r[1]) for r in kept.select("doc_id", "text").collect()):
+        tokens = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        n = len(tokens)
+        cuts = [0, *range(n % 1024 or 1024, n + 1, 1024)] if n > 1024 else [0, n]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[(i, k, a, b - a, zlib.crc32(np.array(tokens[a:b], "<u4").tobytes()))] += 1
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024
+
+
+def test_pipeline_without_labels_of_both_classes(spark, tmp_path):
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r[0] for r in corpus_pipeline.drop_toxic(spark, documents(spark), str(tmp_path)).select("doc_id").collect()} == {r[0] for r in rows()}
