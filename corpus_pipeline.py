@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kvlake.llm import mixing, near_dup, packing, pii, toxicity
 from kvlake.llm.queries import TOKENIZER
-from kvlake.llm.store import saved
+from kvlake.llm.store import remove, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,7 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of all stages applied to documents. A stage's output is removed once the next one's is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = path
+        docs, path = saved(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+    packed, _ = saved(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, path)
+    return packed
