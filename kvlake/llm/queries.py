@@ -102,7 +102,7 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents d JOIN least m ON m.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """,
     "op4_substring_dedup": f"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM words WHERE len(w) >= 20)
@@ -113,18 +113,9 @@ each AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS
 kept AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
   FROM (SELECT * FROM each ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id
-), level(len, doc_id, i, class) AS (
-  SELECT 20, doc_id, i, dense_rank() OVER (ORDER BY s) FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1
-  UNION ALL
-  SELECT * FROM (
-    SELECT 2 * a.len AS len, a.doc_id, a.i, dense_rank() OVER (ORDER BY a.class, b.class) AS class
-    FROM level a JOIN level b ON b.doc_id = a.doc_id AND b.i = a.i + a.len
-    QUALIFY count(*) OVER (PARTITION BY a.class, b.class) > 1
-  )
-), longest AS (SELECT doc_id, max(len) AS longest FROM level GROUP BY doc_id)
-SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256,
-       CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
-FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
 """,
     "op3_top_k": """
 WITH codes AS (

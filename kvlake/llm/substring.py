@@ -2,9 +2,10 @@
 
 A window is a run of words of one text. Windows repeated at one length are
 the only ones that can repeat at twice that length, so candidates are
-extended level by level until none survives: half the asked length, the asked
-length, twice that length and so on. Repeats of the asked length decide which words
-are removed; the last level that a text takes part in says how long its longest
+extended level by level: half the asked length, then the asked length. Repeats
+of the asked length decide which words are removed, so the query stops there. With
+``levels`` the doubling goes on, twice that length and so on, until no
+candidate survives; the last level that a text takes part in says how long its longest
 repeats are (``longest_repeat``, the asked length doubled so many times; 0 for none).
 
 Level 1 does not need every start: of the starts of half-length windows inside
@@ -209,8 +210,8 @@ def _removed(docs: DataFrame, repeats: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, d1 long, d2 long, n_removed long, sha_left string").dropDuplicates(["doc_id", "d1", "d2"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and longest_repeat of every row of docs."""
+def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", text: str = "text", levels: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row of docs; with ``levels`` also longest_repeat."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -236,17 +237,22 @@ def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", te
     left, _ = saved(_removed(source, later, length))
     remove(spark, later_path)
     release(spark)
-    level, level_path = saved(placed.select("doc_id", "start", "h", "g").distinct())
+    longest = None
+    if levels:
+        level, level_path = saved(placed.select("doc_id", "start", "h", "g").distinct())
+        reached, paths = longest_repeats(level, length)
+        longest, _ = saved(reached)
+        remove(spark, level_path, *paths)
     remove(spark, found_path, first_path)
-    longest, longest_paths = longest_repeats(level, length)
-    longest, _ = saved(longest)
-    remove(spark, level_path, *longest_paths)
     release(spark)
-    out = rows.join(firsts.withColumnRenamed("doc_id", "first_id"), ["d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left").join(longest, "doc_id", "left")
+    out = rows.join(firsts.withColumnRenamed("doc_id", "first_id"), ["d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left")
     whole = F.col("doc_id") != F.col("first_id")
     removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("sha_left", "sha"))
+    columns = ["doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256")]
+    if longest is None:
+        return out.select(*columns)
     # all windows of a copied text repeat: the last doubling that it is long enough for
     top = F.expr(f"shiftleft({length}L, length(bin(n_words div {length})) - 1)")
     mine = F.when(F.col("doc_id").isNotNull() & F.col("copied"), top).otherwise(F.coalesce("longest", F.lit(0)))
-    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), mine.cast("long").alias("longest_repeat"))
+    return out.join(longest, "doc_id", "left").select(*columns, mine.cast("long").alias("longest_repeat"))

@@ -149,14 +149,14 @@ REPEATS = ("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
 @pytest.mark.parametrize("seed", [1, 5])
 def test_repeats(spark, seed):
-    assert result(substring.remove_repeats(documents(spark, seed)), *REPEATS) == brute_repeats(rows(seed))
+    assert result(substring.remove_repeats(documents(spark, seed), levels=True), *REPEATS) == brute_repeats(rows(seed))
 
 
 def test_repeats_at_other_lengths_and_of_nothing(spark):
-    assert result(substring.remove_repeats(documents(spark), length=7), *REPEATS) == brute_repeats(rows(), 7)
+    assert result(substring.remove_repeats(documents(spark), length=7, levels=True), *REPEATS) == brute_repeats(rows(), 7)
     assert substring.remove_repeats(empty(spark)).count() == 0
     clash = documents(spark).withColumns({c: F.lit(1) for c in ("h", "start", "starts", "own", "sha")})
-    assert result(substring.remove_repeats(clash), *REPEATS) == brute_repeats(rows())
+    assert result(substring.remove_repeats(clash, levels=True), *REPEATS) == brute_repeats(rows())
 
 
 def test_levels_double_until_none_survives(spark):
@@ -165,7 +165,7 @@ def test_levels_double_until_none_survives(spark):
     prose = lambda n: " ".join(map(str, r.integers(0, 10**9, n)))
     short, long = prose(100), prose(333)
     data = [(1, f"{short} {prose(9)}"), (2, f"{prose(50)} {short}"), (3, f"{long} {prose(5)} {long}"), (4, "the same " * 400), (5, prose(19)), (6, prose(20_000)), (7, f"{prose(3)} {short} {long}")]
-    got = result(substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")), *REPEATS)
+    got = result(substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), levels=True), *REPEATS)
     assert got == brute_repeats(data) and {x[0]: x[4] for x in got} == {1: 80, 2: 80, 3: 320, 4: 640, 5: 0, 6: 0, 7: 320}
 
 
