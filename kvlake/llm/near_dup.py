@@ -453,7 +453,8 @@ def near_duplicates(
         .select("doc_id", "rep", "d1", "d2", "component", "n_blocks", "block")
     )
     member, member_path = saved(member)
-    first = texts.join(member.select("rep", "doc_id", "d1", "d2", F.xxhash64("component", "block").alias("grp"), F.col("doc_id").alias("known")), "rep")
+    # the members grow with the input: texts are dealt by id at every size, never met by a broadcast
+    first = texts.join(member.select("rep", "doc_id", "d1", "d2", F.xxhash64("component", "block").alias("grp"), F.col("doc_id").alias("known")).hint("merge"), "rep")
     exact, exact_path = saved(_settled(first, words, num, den, parts))
     gone = [member_path, found_path, exact_path, repeats_path]
     if not member.filter("n_blocks > 1").isEmpty():
@@ -464,7 +465,7 @@ def near_duplicates(
         # a member goes to the blocks that hold another component than its own
         apart = labelled.join(held, "component").filter("other <> block and (lo <> known or hi <> known)")
         apart = apart.withColumn("grp", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(1)))
-        more, more_path = saved(_settled(texts.join(apart.select("rep", "doc_id", "d1", "d2", "grp", "known"), "rep"), words, num, den, parts))
+        more, more_path = saved(_settled(texts.join(apart.select("rep", "doc_id", "d1", "d2", "grp", "known").hint("merge"), "rep"), words, num, den, parts))
         exact = exact.union(more)
         gone += [known_path, labelled_path, more_path]
     if same is not None:
