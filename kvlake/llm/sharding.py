@@ -99,7 +99,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 6, doc_id: str
     total = rows.count()
     q, longer = total // shards, total % shards * (total // shards + 1)
     # rows that agree in all else are told apart by a hash, so that ranges can split them
-    spread = indexed.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    spread, _ = saved(indexed.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id())))  # else sampling computes the curve again
     ranked = numbered(spread, *[F.col(c) for c in ("curve", "text_crc32", "size", "doc_id", "__salt")], into="rank").withColumn("rank", F.col("rank") - 1)
     return ranked.selectExpr(
         "doc_id",
