@@ -41,6 +41,7 @@ time and without deep recursion.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,7 +81,20 @@ DOCUMENTS = (
     "pasaporte", "dni", "nie", "nif", "número de seguridad social", "licencia de conducir",
 )
 GAZETTEER = CREDENTIALS + ACCOUNTS + DOCUMENTS
-_WORDS = "(?:" + "|".join(sorted(GAZETTEER, key=len, reverse=True)) + ")"
+
+
+def _alternation(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, the longest that fits: common beginnings are written once, so that a place in a text is tried once a letter."""
+    if len(words) == 1:
+        return re.escape(words[0])
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(re.escape(h) + _alternation(tuple(rest)) for h, rest in sorted(heads.items())) + ("|" if "" in words else "") + ")"
+
+
+_WORDS = _alternation(GAZETTEER)
 _LINK = r"(?:\s(?:is|was|no\.?|nr\.?|number|ist|es|est))?+"
 #: A run without spaces; marks at its end belong to the sentence.
 _MARKS = r".,;:)\]}>\x22'\x60"
@@ -184,7 +198,7 @@ def _with_matches(docs: DataFrame, text: str) -> DataFrame:
     df = _once(docs, __digits=F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
     possible = {"email": t.contains("@"), "ip": F.col("__digits"), "card": F.col("__digits"), "phone": F.col("__digits") & t.contains("+")}
     found = {f"__{k}": _checked(k, _matches(t, _PATTERNS[k], possible[k])) for k in KINDS}
-    anchored = t.contains("=") | t.contains(":") | t.rlike(f"(?iu){_WORDS}")
+    anchored = t.contains("=") | t.contains(":") | t.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}]){_WORDS}")
     df = _once(df, **found, __extra=_matches(t, _EXTRA, F.col("__digits")), __follows=_matches(t, _FOLLOWS, anchored, f"$1$3{_A}$2$4{_B}"))
     df = _once(df, __base=F.array_sort(F.concat(*[_numbered(n, F.col(f"__{k}")) for n, k in enumerate(KINDS)])))
     free = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
