@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 RECORD_HEADER = 30
 PAGE = 4096
+#: Fixed values of the FNV-1a hash: its basis, and its prime less 2^40.
+FNV_BASIS, FNV_SMALL = 14695981039346656037, 435
 
 
 def uvarint_size(x: Column) -> Column:
@@ -31,6 +33,24 @@ def checksum(data: Column) -> Column:
     return F.crc32(data)
 
 
+def fnv1a_shard(key: Column, shards: int) -> Column:
+    """The 64-bit FNV-1a hash of a key's bytes, unsigned, modulo ``shards``. Held in two 32-bit halves, as 64-bit products would overflow."""
+    mask = (1 << 32) - 1
+    low, high = FNV_BASIS & mask, FNV_BASIS >> 32
+
+    def step(h: Column, i: Column) -> Column:
+        octet = F.conv(F.hex(F.substring(key.cast("binary"), i, F.lit(1))), 16, 10).cast("long")
+        lo = h["lo"].bitwiseXOR(octet)
+        # the prime is 2^40 + FNV_SMALL
+        small = lo * FNV_SMALL
+        hi = h["hi"] * FNV_SMALL + F.shiftright(small, 32) + F.shiftleft(lo, 8).bitwiseAND(mask)
+        return F.struct(hi.bitwiseAND(mask).alias("hi"), small.bitwiseAND(mask).alias("lo"))
+
+    start = F.struct(F.lit(high).cast("long").alias("hi"), F.lit(low).cast("long").alias("lo"))
+    places = F.when(F.octet_length(key) > 0, F.sequence(F.lit(1), F.octet_length(key))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda h: (h["hi"] % shards * ((1 << 32) % shards) + h["lo"] % shards) % shards)
+
+
 def table_name(table_id: Column) -> Column:
     return F.lpad(table_id.cast("string"), 20, "0")
 
@@ -61,6 +81,15 @@ def shortest_separator(start: bytes, limit: bytes) -> bytes | None:
     return None
 
 
+def separator(start: Column, limit: Column) -> Column:
+    """shortest_separator for text keys as an expression, where a prefix of the limit serves; null elsewhere."""
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(start), F.length(limit)), F.lit(1)))
+    differs = F.filter(places, lambda i: F.substring(start, i, F.lit(1)) != F.substring(limit, i, F.lit(1)))
+    at = F.get(differs, F.lit(0))
+    fits = (F.size(differs) > 0) & (at < F.length(start)) & (at < F.length(limit)) & (start < limit)
+    return F.when(fits, F.substring(limit, F.lit(1), at))
+
+
 #: Binary units by suffix.
 UNITS = {"TiB": 40, "GiB": 30, "MiB": 20, "KiB": 10, "B": 0}
 

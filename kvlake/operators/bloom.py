@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.operators.zonemap import interval_join
+
 PROBE_PERCENT = 69
 
 
@@ -43,11 +45,15 @@ def may_contain(pairs: DataFrame, filters: DataFrame, table: str = "run", key: s
 
 
 def probe_counts(keys: DataFrame, records: DataFrame, meta: DataFrame, filters: DataFrame, table: str = "run", key: str = "k", bits_per_key: int = 12) -> DataFrame:
-    """For every key: tables in range, those its filter excludes, and false positives among the rest."""
-    pairs = keys.select(key).distinct().join(meta.select(table, "min_key", "max_key"), (F.col(key) >= F.col("min_key")) & (F.col(key) <= F.col("max_key"))).select(table, key)
+    """For every key: tables in range, those that hold it, those its filter excludes, false positives among the rest, and held ones that a filter excludes (none)."""
+    pairs = interval_join(keys.select(key).distinct(), meta.select(table, "min_key", "max_key"), key, key, "min_key", "max_key").select(table, key)
     asked = may_contain(pairs, filters, table, key, bits_per_key)
     held = records.select(table, key).distinct().withColumn("held", F.lit(True))
     both = asked.join(held, [table, key], "left")
     return both.groupBy(key).agg(
-        F.count("*").alias("probed"), F.count_if(~F.col("maybe")).alias("negative"), F.count_if(F.col("maybe") & F.col("held").isNull()).alias("false_positive")
+        F.count("*").alias("probed"),
+        F.count("held").alias("held"),
+        F.count_if(~F.col("maybe")).alias("negative"),
+        F.count_if(F.col("maybe") & F.col("held").isNull()).alias("false_positive"),
+        F.count_if(~F.col("maybe") & F.col("held").isNotNull()).alias("missed"),
     )

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.operators.snapshot import latest
-from kvlake.operators.zonemap import octets
+from kvlake.operators.zonemap import interval_join, octets
 from kvlake.schema import LEVELS, SET, Options
 
 
@@ -96,6 +97,11 @@ def estimate_keys(tables: list[Table], target_bytes: int) -> int:
     return keys if not size else min(keys, target_bytes * keys // size)
 
 
+def estimated(tables: DataFrame, target_bytes: int, *by: str) -> DataFrame:
+    """estimate_keys for groups of a table of metadata."""
+    return tables.groupBy(*by).agg(F.expr(f"if(sum(bytes) = 0, sum(keys), least(sum(keys), {target_bytes} * sum(keys) div sum(bytes)))").alias("keys"))
+
+
 def compact(records: DataFrame, drop_tombstones: bool, key: str = "key") -> DataFrame:
     """Newest version of each key of all inputs; tombstones go only if the caller may drop them."""
     return latest(records, drop_tombstones=drop_tombstones, key=key)
@@ -104,14 +110,15 @@ def compact(records: DataFrame, drop_tombstones: bool, key: str = "key") -> Data
 def compact_over(records: DataFrame, deeper: DataFrame, key: str = "k") -> DataFrame:
     """Compaction with the tombstone rule per key: a tombstone stays while the zone map of a deeper table (min_key, max_key) holds its key."""
     newest = latest(records, drop_tombstones=False, key=key)
-    dead = newest.filter(F.col("op") != SET).join(F.broadcast(deeper), (F.col(key) >= F.col("min_key")) & (F.col(key) <= F.col("max_key")), "left_semi")
+    gone = newest.filter(F.col("op") != SET)
+    dead = interval_join(gone, deeper.select("min_key", "max_key"), key, key, "min_key", "max_key", semi=True)
     return newest.filter(F.col("op") == SET).unionByName(dead)
 
 
 def overlap_join(tables: DataFrame, next_level: DataFrame) -> DataFrame:
     """Pairs of a table and a table of the next level whose key ranges overlap (both ends inclusive)."""
     other = next_level.select(*[F.col(c).alias(f"next_{c}") for c in ("id", "min_key", "max_key", "bytes")])
-    return tables.join(F.broadcast(other), (F.col("min_key") <= F.col("next_max_key")) & (F.col("max_key") >= F.col("next_min_key")))
+    return interval_join(tables, other, "min_key", "max_key", "next_min_key", "next_max_key")
 
 
 def least_overlap(tables: DataFrame, next_level: DataFrame) -> DataFrame:
@@ -130,15 +137,16 @@ def neighbours(tables: DataFrame, group: str = "lvl") -> DataFrame:
 def split(records: DataFrame, target_bytes: int, key: str = "k", value: str = "v", ranges: int | None = None) -> DataFrame:
     """Records with ``part``: a new part begins once the bytes since the last cut reach the target.
 
-    The cut is greedy, so each key range is walked in order by one task that holds a batch at a time; with one range the cut is that
-    of a single walk. ``ranges`` walks key ranges in parallel; parts are then numbered within their range.
+    The cut is greedy, so each key range is walked in order by one task that holds a batch at a time. Ranges (as many as shuffle
+    partitions, if not given) are walked in parallel; parts of range r are numbered from r * 2^32. With one range the cut is that of a single walk.
     """
+    ranges = ranges or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = records.withColumn("__bytes", octets(key, value))
-    ordered = ordered.coalesce(1).sortWithinPartitions(key) if ranges in (None, 1) else ordered.repartitionByRange(ranges, key).sortWithinPartitions(key)
+    ordered = ordered.coalesce(1).sortWithinPartitions(key) if ranges == 1 else ordered.repartitionByRange(ranges, key).sortWithinPartitions(key)
     names = [c for c in ordered.columns if c != "__bytes"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, size = 0, 0
+        part, size = TaskContext.get().partitionId() << 32, 0
         for rows in batches:
             parts = []
             for n in rows["__bytes"]:
@@ -149,4 +157,4 @@ def split(records: DataFrame, target_bytes: int, key: str = "k", value: str = "v
             yield rows[names].assign(part=parts)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    return ordered.mapInPandas(walk, f"{schema}, part int")
+    return ordered.mapInPandas(walk, f"{schema}, part long")

@@ -52,3 +52,12 @@ def reassemble(parts: DataFrame) -> DataFrame:
 def expired(files: DataFrame, checkpoint_lsn: int) -> DataFrame:
     """Log files whose every record is before the checkpoint."""
     return files.filter(F.col("max_lsn") < checkpoint_lsn)
+
+
+def record_at(log: DataFrame, lsn: int) -> DataFrame:
+    return log.filter(F.col("lsn") == lsn)
+
+
+def any_from(log: DataFrame, lsn: int) -> DataFrame:
+    """One row: whether a sound record begins at or after an lsn."""
+    return log.agg(F.coalesce(F.max((F.col("lsn") >= lsn) & F.col("valid")), F.lit(False)).alias("found"))

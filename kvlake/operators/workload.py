@@ -29,14 +29,16 @@ def histogram(df: DataFrame, by: str, ns: Column) -> DataFrame:
 
 
 def percentiles(hist: DataFrame, by: str, shares: dict[str, float]) -> DataFrame:
-    """For every group the first bucket whose cumulative count reaches ceil(share * total)."""
+    """For every group the upper bound of the first bucket whose cumulative count reaches ceil(share * total)."""
     upto = Window.partitionBy(by).orderBy("bucket")
     cum = hist.withColumn("cum", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
-    return cum.groupBy(by).agg(*[F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * p), F.col("bucket"))).alias(name) for name, p in shares.items()])
+    found = cum.groupBy(by).agg(*[F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * p), F.col("bucket"))).alias(name) for name, p in shares.items()])
+    return found.select(by, *[upper_bound(F.col(name)).alias(name) for name in shares])
 
 
-def outcomes(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"))
+def outcomes(df: DataFrame, *by: str, **totals: Column) -> DataFrame:
+    """Requests of each outcome, and how many of them fulfil further conditions."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in totals.items()])
 
 
 def outcome_rank(kind: Column, order: list[str]) -> Column:

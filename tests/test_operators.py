@@ -1,5 +1,7 @@
 """Recovery, filters, workload figures and scalar helpers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ def test_bloom(spark):
 
 def test_split(spark):
     rows = spark.createDataFrame([(f"k{i:02d}", "v" * 16) for i in range(20)], "k string, v string")
-    got = compaction.split(rows, 128).collect()
+    got = compaction.split(rows, 128, ranges=1).collect()
+    spread = compaction.split(rows, 64, ranges=3).collect()
+    assert len(spread) == 20 and len({r["part"] >> 32 for r in spread}) == 3
     parts = {}
     for r in got:
         parts.setdefault(r["part"], []).append(r["k"])
@@ -52,7 +56,7 @@ def test_split(spark):
 def test_histogram_and_percentiles(spark):
     assert [r[0] for r in spark.createDataFrame([(0,), (1,), (2,)], "x long").select(workload.bucket(F.col("x"))).collect()] == [0, 1, 71]
     df = spark.range(1, 1001).select(F.lit("a").alias("g"), F.col("id").alias("ns"))
-    row = workload.percentiles(workload.histogram(df, "g", F.col("ns")), "g", {"p50": 0.5, "p100": 1.0}).select(workload.upper_bound(F.col("p50")), workload.upper_bound(F.col("p100"))).first()
+    row = workload.percentiles(workload.histogram(df, "g", F.col("ns")), "g", {"p50": 0.5, "p100": 1.0}).select("p50", "p100").first()
     assert 500 <= row[0] <= 505 and 1000 <= row[1] <= 1010
 
 
@@ -95,6 +99,35 @@ def test_scalars(spark):
     assert scalar.env_name("KV", "memtable.capacityBytes") == "KV_MEMTABLE_CAPACITY_BYTES"
 
 
+def test_interval_join(spark):
+    """Pairs of overlapping ranges, once each, whatever the bins; ranges of equal starts, single keys and ranges over everything."""
+    r = random.Random(5)
+    make = lambda n: [(i, *sorted((f"k{r.randrange(40):02d}", f"k{r.randrange(40):02d}"))) for i in range(n)] + [(n, "a", "z"), (n + 1, "k05", "k05"), (n + 1, "k05", "k05")]
+    a, b = make(30), make(25)
+    left, right = spark.createDataFrame(a, "i int, lo string, hi string"), spark.createDataFrame(b, "j int, from string, to string")
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and x[2] >= y[1])
+    for bins in (1, 4, 256):
+        assert sorted((p["i"], p["j"]) for p in zonemap.interval_join(left, right, "lo", "hi", "from", "to", bins).collect()) == want
+    none = right.filter("j < 0")
+    assert zonemap.interval_join(left, none, "lo", "hi", "from", "to").isEmpty() and zonemap.interval_join(left, none, "lo", "hi", "from", "to", semi=True).isEmpty()
+    points = left.withColumn("hi", F.col("lo"))
+    semi = sorted(p["i"] for p in zonemap.interval_join(points, right.filter("j < 5"), "lo", "hi", "from", "to", semi=True).collect())
+    assert semi == sorted(x[0] for x in a if any(y[1] <= x[1] <= y[2] for y in b if y[0] < 5))
+
+
+def test_blocks_and_separators(spark):
+    rows = [(f"key{i * 7:05d}", "v" * (i % 30)) for i in range(200)]
+    blocked = zonemap.blocks(spark.createDataFrame(rows, "k string, v string"), 300)
+    index = zonemap.sparse_index(blocked).orderBy("block").collect()
+    assert all(x["last_key"] <= x["separator"] < y["first_key"] or x["separator"] == x["last_key"] for x, y in zip(index, index[1:], strict=False))
+    where = {r["k"]: r["block"] for r in blocked.collect()}
+    for k in list(where)[::23]:
+        assert zonemap.find_block(zonemap.sparse_index(blocked), k).first()["block"] == where[k]
+    for start, limit in (("abcdef", "abzz"), ("abc", "abd"), ("apple", "apricot"), ("a", "b"), ("same", "same")):
+        got = spark.range(1).select(scalar.separator(F.lit(start), F.lit(limit))).first()[0]
+        assert got is None or (start <= got < limit and len(got) < len(start) and got.encode() == scalar.shortest_separator(start.encode(), limit.encode()))
+
+
 def test_config():
     spec = {"server.port": ("port", "80"), "memtable.capacityBytes": ("bytes", "64MiB")}
     got = config.load(spec, "KV", {"server.port": "1", "memtable.capacityBytes": "16MiB"}, {"KV_SERVER_PORT": "2"}, {"server.port": "3"})
