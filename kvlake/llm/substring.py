@@ -18,8 +18,8 @@ earlier start) is a repeat, and the words it covers are removed. Beyond the
 asked length a window is two repeated halves side by side, so texts are not
 read again: its digest follows from those of its halves.
 
-Windows are told apart by two 64-bit digests, so that none of 10^14 windows is
-taken for another by chance.
+Windows are told apart by digests of 64 and 32 bits together, so that of 10^13
+windows any two are taken for one another with a probability below 0.001.
 
 Texts with equal word sequences are one class: the first id stands for all.
 A later copy is removed whole if it has a window at all.
@@ -155,10 +155,10 @@ def _extended(docs: DataFrame, starts: DataFrame, span: int, length: int) -> Dat
                     others.append(seconds[a + begin])
                 if rows:
                     row, begin, value, other = (np.concatenate(x) for x in (rows, begins, values, others))
-                    cols = [pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(other.view(np.int64))]
+                    cols = [pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)), pa.array((other >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *cols], ["doc_id", "start", "h", "g"])
 
-    return docs.join(listed, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start int, h long, g long")
+    return docs.join(listed, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start int, h long, g int")
 
 
 def longest_repeats(level: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
@@ -228,22 +228,22 @@ def remove_repeats(docs: DataFrame, length: int = 20, doc_id: str = "doc_id", te
     full, full_path = saved(_extended(source, survivors, length - half, length))
     remove(spark, survivors_path)
     release(spark)
-    found, found_path = _repeated(full, "h", "g")
-    remove(spark, full_path)
-    release(spark)
-    first, first_path = saved(found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last"))
-    placed = found.join(first, ["h", "g"])
-    later, later_path = saved(placed.filter("struct(doc_id, start) > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
-    left, _ = saved(_removed(source, later, length))
-    remove(spark, later_path)
-    release(spark)
+    # the first places are saved before the join, as in _repeated
+    first, first_path = saved(full.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    again = full.join(first, ["h", "g"]).filter("struct(doc_id, start) > first")
+    later, later_path = saved(again.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    remove(spark, first_path)
     longest = None
     if levels:
-        level, level_path = saved(placed.select("doc_id", "start", "h", "g").distinct())
+        distinct, distinct_path = saved(full.distinct())
+        level, level_path = _repeated(distinct, "h", "g")
         reached, paths = longest_repeats(level, length)
         longest, _ = saved(reached)
-        remove(spark, level_path, *paths)
-    remove(spark, found_path, first_path)
+        remove(spark, distinct_path, level_path, *paths)
+    remove(spark, full_path)
+    release(spark)
+    left, _ = saved(_removed(source, later, length))
+    remove(spark, later_path)
     release(spark)
     out = rows.join(firsts.withColumnRenamed("doc_id", "first_id"), ["d1", "d2"], "left").join(left, ["doc_id", "d1", "d2"], "left")
     whole = F.col("doc_id") != F.col("first_id")
