@@ -2,9 +2,10 @@
 
 Documents become token ids followed by an end id and are cut, only where
 longer than a sequence, into pieces of ``length`` tokens; the first piece of a
-cut document may be shorter. Full pieces are sequences of their own. Shorter
-ones are dealt by hash into shards of about ``shard_items`` pieces, and each
-shard is packed by itself: best-fit decreasing first, then local search.
+cut document may be shorter. Full pieces are sequences of their own, numbered
+in shards of their own. Shorter ones are dealt by hash into shards; shards of
+both kinds hold about ``shard_items`` pieces. Each shard of shorter pieces
+is packed by itself: best-fit decreasing first, then local search.
 While a shard has more bins than its tokens need, underfull bins take from
 emptier ones, the fullest first: a document is moved, or one exchanged for
 one, two for one or one for two, by the largest net shift that the bin
@@ -290,8 +291,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, s
     """Pieces of all docs with sequence_id and gapless offset."""
     small_batches(docs.sparkSession)
     cut, _ = saved(pieces(docs, tokenizer, length, end_id, doc_id, text))
-    short = cut.filter(F.col("length") < length).count()
-    shards = max(1, -(-short // shard_items))
+    full_piece = F.col("length") >= length
+    counts = cut.agg(F.count_if(~full_piece).alias("short"), F.count_if(full_piece).alias("full")).first()
+    shards, full_shards = (max(1, -(-counts[k] // shard_items)) for k in ("short", "full"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], ignore_index=True)
@@ -317,6 +319,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, s
     runs = copies.filter(F.col("__n") > COPIES).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPIES}"))))
     spread = runs.repartition("__run", *names).withColumn("__copy", F.explode(F.sequence(F.expr(f"__run * {COPIES} + 1"), F.least(F.expr(f"(__run + 1) * {COPIES}"), "__n"))))
     each = few.unionByName(spread.drop("__run"))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "__copy"), F.lit(shards))
+    draw = F.xxhash64("doc_id", "piece", "length", "ids_crc32", "__copy")
+    salt = F.when(full_piece, F.pmod(draw, F.lit(full_shards)) + shards).otherwise(F.pmod(draw, F.lit(shards)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return each.withColumn("__shard", salt.cast("long")).select(*names, "__shard").groupBy("__shard").applyInPandas(run, schema)

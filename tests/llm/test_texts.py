@@ -183,6 +183,15 @@ def test_packing_follows_content_alone(spark):
     assert first == second and sum(n for r, n in first.items() if r[0] == 7000) == packing.COPIES + 5
 
 
+def test_full_pieces_are_spread_over_shards(spark):
+    """Long documents leave no short pieces but one each; their full ones are no single task's work."""
+    df = spark.createDataFrame([(n, f"{n} " * 700) for n in range(4)], "doc_id long, text string")
+    out = packing.pack(df, queries.TOKENIZER, length=16, shard_items=20).collect()
+    full = Counter(r["sequence_id"] >> 40 for r in out if r["length"] == 16)
+    assert len(full) >= 5 and max(full.values()) <= 60
+    assert len({r["sequence_id"] for r in out if r["length"] == 16}) == sum(full.values())
+
+
 def test_local_search_ends_without_exchanges():
     """No pair of underfull bins is left with a move or exchange that raises the squared fills."""
     r = random.Random(7)
