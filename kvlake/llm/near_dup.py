@@ -278,14 +278,17 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     mark = seal(edges)
     while True:
         both = edges.union(edges.selectExpr("u as v", "v as u"))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").filter("u > v and u <> m").selectExpr("u as v", "m as u")
+        # what a join reads is saved before: its sides are then plain shuffles, and a vertex with very many neighbours can be split over tasks
+        least, least_path = saved(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
+        larger = edges.select(F.col("v").alias("w"), F.col("u").alias("v"))
+        large, large_path = saved(larger.join(least.hint("merge"), "v").select(F.col("w").alias("v"), F.col("m").alias("u")))
+        low, low_path = saved(large.groupBy("v").agg(F.min("u").alias("m")))
         # small star: smaller neighbours, and the vertex itself, join the smallest
-        joined = large.join(large.groupBy("v").agg(F.min("u").alias("m")), "v")
+        joined = large.join(low.hint("merge"), "v")
         pairs = F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         small = joined.select(F.explode(pairs).alias("p")).select("p.v", "p.u").filter("v <> u").distinct()
         nxt, nxt_path = saved(small)
-        remove(spark, path)
+        remove(spark, path, least_path, large_path, low_path)
         edges, path, before, mark = nxt, nxt_path, mark, seal(nxt)
         release(spark)
         if mark == before:

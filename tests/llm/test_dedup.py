@@ -96,6 +96,16 @@ def test_near_duplicates_of_repeated_ids(spark, options):
     assert result(got, *NEAR) == Counter((i, len(shingles(t)), of(i, t), of(i, t) == i) for i, t in data)
 
 
+def test_components_of_hubs_and_chains(spark):
+    """A hub amid its neighbours, a chain that runs up and down, and a pair; links repeat and meet themselves."""
+    hub = [(500, n) for n in range(400, 600)]
+    chain = [(1000 + (n * 37) % 101, 1000 + ((n + 1) * 37) % 101) for n in range(100)]
+    links = spark.createDataFrame([*hub, *hub[:3], *chain, (8, 9)], "a long, b long")
+    found, _ = near_dup.components(links)
+    expected = {n: 400 for n in range(400, 600)} | {n: 1000 for n in range(1000, 1101)} | {8: 8, 9: 8}
+    assert sorted(map(tuple, found.collect())) == sorted(expected.items())
+
+
 def test_sketch_recall():
     """One step of twelve trees finds pairs at the threshold: of 20,000 pairs whose tokens agree by chance of 0.75, all meet in some node."""
     r, met = np.random.default_rng(4), 0
