@@ -8,8 +8,9 @@
    end, nodes of at most ``node`` members are compared exhaustively by
    sketch, larger ones branch on, at most ``depth`` times. A large node left
    at that depth is a dense group: it is compared block by block, all pairs of
-   blocks being covered, so nothing is capped. With twelve trees a pair at the
-   threshold is missed with probability under 1e-4, a closer one less.
+   blocks being covered, so nothing is capped. One step of twelve trees misses a
+   pair at the threshold with probability under 1e-8; nodes that branch to the
+   full depth miss it with 0.003, a closer one less.
 3. A small node gives out a spanning forest of the pairs whose sketches agree
    in at least ``CUT`` of their places: fewer links than members. Components
    of these links are the candidate groups; they hold every class of a
