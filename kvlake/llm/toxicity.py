@@ -1,10 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is read in overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, to
-its end, so passages of up to nine words lie whole in some window, and longer
-ones are read in two. A word's input joins a word embedding and the mean embedding of its
-characters' n-grams (its first four, five and six bytes and its last three),
-all by hash; other inner n-grams are not read. A forward and a backward gated recurrent layer read the window,
+its end, so passages of up to 25 words lie whole in some window. A word's input
+joins a word embedding and the embeddings of all its n-grams of three to five
+bytes (their sum over the root of their number), with a mark before its first
+and behind its last byte, all by hash.
+A forward and a backward gated recurrent layer read the window,
 attention weighs the states, and a logistic unit scores their mean. The
 score of a text is the largest of its windows' scores.
 
@@ -14,7 +15,8 @@ hidden units a direction are enough here, as a window's verdict rests on a few o
 held-out accuracy is in the README.
 
 Training sees labels of whole texts only: a text is toxic if any window is, so
-the loss is a noisy-or over its windows. Words and n-grams that only one
+the loss is a noisy-or over its windows, which lie ``TRAIN_STRIDE`` apart, so that
+all words are read. Words and n-grams that only one
 training text holds are not read. The training sample is bounded by
 ``max_train`` texts, half of each class, drawn by hash among the labelled rows that
 the caller allows; whole texts are used. The model is a few hundred kilobytes
@@ -29,6 +31,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,10 +42,11 @@ from pyspark.sql import functions as F
 from kvlake.llm.store import small_batches
 from kvlake.llm.words import blocks, mix, scan
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE, TRAIN_STRIDE = 32, 8, 24
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
-N_GRAMS = 4
+N_GRAMS = (3, 4, 5)
+PLACES = 1 << 18  # n-grams looked up at once
 THRESHOLD = 0.3
 
 _ALNUM = np.zeros(256, bool)
@@ -52,8 +56,43 @@ ONE, HALF = np.float32(1), np.float32(0.5)
 GATES = "zrn"
 
 
-def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of distinct words: word row and n-gram rows, index of each word in them, first word of each text)."""
+def _grams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places x N_GRAMS rows of n-grams, the word of each place) of words given by first byte and size, with a mark before and behind each.
+
+    A row is the n-gram of each size that begins at the place, or CHAR_ROWS where the word ends before it does.
+    """
+    owner = np.repeat(np.arange(len(size)), size + 2)
+    inside = np.arange(len(owner)) - (np.cumsum(size + 2) - size - 2)[owner]
+    left = (size + 2)[owner] - inside
+    marked = np.full(len(owner) + max(N_GRAMS), 257, np.uint64)
+    within = (inside > 0) & (left > 1)
+    marked[: len(owner)][within] = data[(start[owner] + inside - 1)[within]]
+    marked[: len(owner)][inside == 0] = 256
+    rows = np.full((len(owner), len(N_GRAMS)), CHAR_ROWS, np.int32)
+    with np.errstate(over="ignore"):
+        for k, n in enumerate(N_GRAMS):
+            h = np.full(len(owner), n, np.uint64)
+            for i in range(n):
+                h = h * np.uint64(0x100000001B3) + marked[i : i + len(owner)]
+            rows[:, k] = np.where(left >= n, mix(h) % np.uint64(CHAR_ROWS), CHAR_ROWS)
+    return rows, owner
+
+
+@dataclass
+class Ids:
+    """Embedding rows of distinct words."""
+
+    word: np.ndarray
+    grams: np.ndarray  # of all places of all words
+    owner: np.ndarray  # the word of each place
+    root: np.ndarray  # square root of each word's number of n-grams, one at least
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+
+def word_ids(texts: list[bytes]) -> tuple[Ids, np.ndarray, np.ndarray]:
+    """(ids of distinct words, index of each word in them, first word of each text)."""
     w = scan(texts, lower=True)
     start, end = w.start.copy(), w.end.copy()
     for _ in range(3):  # trim marks around a word
@@ -62,31 +101,18 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w.start, w.end = start, end
     hashes = w.hashes()
     distinct, at, index = np.unique(hashes, return_index=True, return_inverse=True)
-    a, b = start[at], end[at]
-    size = b - a
-    ids = np.zeros((len(distinct), 1 + N_GRAMS), np.int64)
-    ids[:, 0] = distinct % np.uint64(WORD_ROWS)
-    last = max(len(w.data) - 1, 0)
-    with np.errstate(over="ignore"):
-        for k, n in enumerate((4, 5, 6)):
-            h = np.full(len(distinct), k + 1, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(0x100000001B3) + np.where(i < size, w.data[np.minimum(a + i, last)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-            ids[:, 1 + k] = mix(h) % np.uint64(CHAR_ROWS)
-        h = np.full(len(distinct), 9, np.uint64)
-        for i in range(1, 4):
-            h = h * np.uint64(0x100000001B3) + np.where(i <= size, w.data[np.maximum(b - i, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        ids[:, 4] = mix(h) % np.uint64(CHAR_ROWS)
-    return ids, index, w.first
+    grams, owner = _grams(w.data, start[at], end[at] - start[at])
+    count = np.bincount(owner, weights=(grams < CHAR_ROWS).sum(axis=1), minlength=len(distinct))
+    return Ids((distinct % np.uint64(WORD_ROWS)).astype(np.int64), grams, owner, np.sqrt(np.maximum(count, 1)).astype(np.float32)), index, w.first
 
 
-def window_words(index: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+def window_words(index: np.ndarray, first: np.ndarray, none: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(windows x WINDOW of word indexes, padded with ``none``; first window of each text). Every text has a window."""
     n = first[1:] - first[:-1]
-    count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+    count = np.maximum(1, -(-(n - WINDOW) // stride) + 1)
     begins = np.concatenate([[0], np.cumsum(count)])
     text = np.repeat(np.arange(len(n)), count)
-    offset = (np.arange(begins[-1]) - begins[text]) * STRIDE
+    offset = (np.arange(begins[-1]) - begins[text]) * stride
     at = offset[:, None] + np.arange(WINDOW)[None, :]
     inside = at < n[text][:, None]
     padded = np.append(index, none)
@@ -120,12 +146,17 @@ class Network:
             self.p |= {f"x{d}": normal(size, HIDDEN, scale=0.3), f"h{d}": normal(HIDDEN, HIDDEN, scale=0.3), f"c{d}": np.zeros(HIDDEN, np.float32)}
         self.p |= {"a": normal(2 * HIDDEN, ATTEND, scale=0.3), "v": normal(ATTEND, scale=0.3), "o": normal(2 * HIDDEN, scale=0.3), "z": np.full(1, -4, np.float32)}
 
-    def inputs(self, ids: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, ids: Ids, keep: np.ndarray | None = None) -> np.ndarray:
         """Input vectors of distinct words; the last row, for padding, is zero."""
-        word = self.p["word"][ids[:, 0]]
+        word = self.p["word"][ids.word]
         if keep is not None:
             word = word * keep[:, None]
-        chars = self.p["char"][ids[:, 1:]].mean(axis=1)
+        chars, table = np.zeros((len(ids), CHAR_DIM), np.float32), np.append(self.p["char"], np.zeros((1, CHAR_DIM), np.float32), axis=0)
+        for at in range(0, len(ids.owner), PLACES):
+            owner = ids.owner[at : at + PLACES]
+            edge = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+            chars[owner[edge]] += np.add.reduceat(table[ids.grams[at : at + PLACES]].sum(axis=1), edge)
+        chars /= ids.root[:, None]
         return np.concatenate([np.concatenate([word, chars], axis=1), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
 
     def forward(self, x: np.ndarray, words: np.ndarray, keep: bool = False):
@@ -165,7 +196,7 @@ class Network:
         logit = pooled @ self.p["o"] + self.p["z"]
         return (logit, kept, both, lit, weight, pooled, empty) if keep else logit
 
-    def gradients(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray, label: np.ndarray, keep: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, ids: Ids, words: np.ndarray, first: np.ndarray, label: np.ndarray, keep: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean noisy-or loss over texts, and its gradients."""
         p = self.p
         x = self.inputs(ids, keep)
@@ -209,8 +240,9 @@ class Network:
                 g[f"x{d}{k}"] = x.T @ dwide[k]
                 dx += dwide[k] @ p[f"x{d}{k}"].T
         dx = dx[:-1]
-        g["word"] = (ids[:, 0], dx[:, :WORD_DIM] * keep[:, None])
-        g["char"] = (ids[:, 1:].ravel(), np.repeat(dx[:, WORD_DIM:] / N_GRAMS, N_GRAMS, axis=0))
+        g["word"] = (ids.word, dx[:, :WORD_DIM] * keep[:, None])
+        real = ids.grams < CHAR_ROWS
+        g["char"] = (ids.grams[real], (dx[:, WORD_DIM:] / ids.root[:, None])[np.broadcast_to(ids.owner[:, None], real.shape)[real]])
         return float(loss.mean()), g
 
     def keep_common(self, texts: list[bytes], least: int = 2) -> dict[str, np.ndarray]:
@@ -218,8 +250,8 @@ class Network:
         seen = {"word": np.zeros(WORD_ROWS, np.int32), "char": np.zeros(CHAR_ROWS, np.int32)}
         for t in texts:
             ids, _, _ = word_ids([t])
-            seen["word"][np.unique(ids[:, 0])] += 1
-            seen["char"][np.unique(ids[:, 1:])] += 1
+            seen["word"][np.unique(ids.word)] += 1
+            seen["char"][np.unique(ids.grams[ids.grams < CHAR_ROWS])] += 1
         common = {k: n >= least for k, n in seen.items()}
         for k, some in common.items():
             self.p[k][~some] = 0
@@ -235,7 +267,7 @@ class Network:
             seen = []
             for chosen in np.array_split(r.permutation(len(texts)), n):
                 ids, index, begins = word_ids([texts[i] for i in chosen])
-                words, starts = window_words(index, begins, len(ids))
+                words, starts = window_words(index, begins, len(ids), TRAIN_STRIDE)
                 loss, g = self.gradients(ids, words, starts, y[chosen], (r.random(len(ids)) < 0.5).astype(np.float32))
                 seen.append(loss)
                 step += 1
@@ -243,9 +275,8 @@ class Network:
                 for k, d in g.items():
                     if isinstance(d, tuple):
                         rows, place = np.unique(d[0], return_inverse=True)
-                        total = np.zeros((len(rows), d[1].shape[1]), np.float32)
-                        np.add.at(total, place, d[1])
-                        d = total
+                        order = np.argsort(place, kind="stable")
+                        d = np.add.reduceat(d[1][order], np.searchsorted(place[order], np.arange(len(rows))))
                     else:
                         rows = slice(None)
                     if k in common:

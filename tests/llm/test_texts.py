@@ -289,12 +289,50 @@ def test_gradients():
             both.append(net.gradients(ids, words, starts, y, keep)[0])
         net.p[name][at] = was
         assert abs((both[0] - both[1]) / 2e-3 - g[name][at]) < 1e-3, name
+    row, slopes = int(ids.grams.min()), g["char"]
+    was, both = net.p["char"][row, 0], []
+    for step in (1e-3, -1e-3):
+        net.p["char"][row, 0] = was + step
+        both.append(net.gradients(ids, words, starts, y, keep)[0])
+    assert abs((both[0] - both[1]) / 2e-3 - slopes[1][slopes[0] == row, 0].sum()) < 1e-3
 
 
 def test_windows_cover_every_word():
     for n in (0, 1, 32, 33, 56, 57, 200):
         words, _ = toxicity.window_words(np.arange(n), np.array([0, n]), n)
         assert set(words.ravel().tolist()) >= set(range(n)) and words.shape[1] == toxicity.WINDOW
+        assert all(any(set(range(i, i + 25)) <= set(w) for w in words.tolist()) for i in range(max(0, n - 24)))
+
+
+def test_word_ids_read_all_n_grams(monkeypatch):
+    ids, index, _ = toxicity.word_ids(["Abcdef (xy) ... é abcdef".encode()])
+    assert index[0] == index[4] and len(ids) == 4
+    sizes = [6, 2, 0, 2]
+    want = [sum(max(0, n + 3 - k) for k in (3, 4, 5)) for n in sizes]
+    assert [round(float(ids.root[index[i]]) ** 2) for i in range(4)] == [max(1, w) for w in want]
+    one, inner = toxicity.word_ids([b"qqabcdqq"])[0], toxicity.word_ids([b"zabcdzzz"])[0]
+    rows = lambda x, k: set(x.grams[:, k][x.grams[:, k] < toxicity.CHAR_ROWS].tolist())
+    assert len(rows(one, 1) & rows(inner, 1)) == 1 and len(rows(one, 0) & rows(inner, 0)) == 2
+    net, text = toxicity.Network(), ["many words of several sizes, " * 3 + "x" * 50]
+    ids = toxicity.word_ids([t.encode() for t in text])[0]
+    whole = net.inputs(ids)
+    monkeypatch.setattr(toxicity, "PLACES", 7)
+    assert np.allclose(net.inputs(ids), whole, atol=1e-6)
+
+
+def test_toxicity_finds_stems_inside_words():
+    """Held-out texts whose only mark is a stem between two ordinary words."""
+    r, texts, y = random.Random(6), [], []
+    vocab = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(4, 7))) for _ in range(400)]
+    for i in range(1200):
+        words = [r.choice(vocab) for _ in range(20)]
+        for _ in range(r.randint(1, 3) if i % 2 else 0):
+            words.insert(r.randrange(20), r.choice(vocab) + "zwork" + r.choice(vocab))
+        texts.append(" ".join(words).encode())
+        y.append(i % 2)
+    net = toxicity.Network()
+    net.fit(texts[:1000], y[:1000])
+    assert np.mean((net.score(texts[1000:]) >= 0.3) == (np.array(y[1000:]) == 1)) >= 0.95
 
 
 def test_clashing_names(spark):
