@@ -1,8 +1,7 @@
 """The engine's queries over the driver's tables, and the same queries as DuckDB SQL.
 
-The op log is derived from ``events`` (oplog.from_events): run = 1,000 sequences, batch = 128. kv_compact_level0 takes the newest
-third of the table's runs as level 0. The other compaction queries have the fixed levels of ``LEVEL``, and kv_compact_l0 the fixed
-runs of its SQL (0 to 3 over 4 to 6), however many runs there are. Parameters are stated once, below.
+The op log is derived from ``events`` (oplog.from_events): run = 1,000 sequences, batch = 128. Levels are thirds of the table's
+runs by age, however many there are: the newest third is level 0, the oldest level 2. Parameters are stated once, below.
 """
 
 from __future__ import annotations
@@ -49,8 +48,10 @@ meta AS (
          CAST(sum(strlen(k) + coalesce(strlen(v), 0)) AS BIGINT) AS bytes
   FROM dedup GROUP BY run
 )"""
-#: Levels of the runs: the oldest four tenths are level 1, the next three level 2, the rest level 0.
-LEVEL = "CASE WHEN run < 4 THEN 1 WHEN run < 7 THEN 2 ELSE 0 END"
+TABLES = """
+tables AS (
+  SELECT run AS id, min_key, max_key, keys, bytes, CAST(3 * (row_number() OVER (ORDER BY run DESC) - 1) // count(*) OVER () AS INTEGER) AS lvl FROM meta
+)"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,13 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _meta(spark, sf_dir).withColumnRenamed("run", "id").withColumn("lvl", F.expr(LEVEL.replace("run", "id")))
+    """The runs' zone maps as tables of levels."""
+    return _levels(_meta(spark, sf_dir))
+
+
+def _levels(meta: DataFrame) -> DataFrame:
+    aged = snapshot.numbered(meta.withColumnRenamed("run", "id"), F.col("id").desc(), into="age")
+    return aged.withColumn("lvl", F.expr(f"cast(3 * (age - 1) div {max(1, aged.count())} as int)")).drop("age")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -209,29 +216,16 @@ def kv_recover_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.after(_log(spark, sf_dir), CHECKPOINT_SEQ).select("k", "seq", "op", "v")
 
 
-@query(f"""WITH {LOG}, {RUNS}, deeper AS (SELECT * FROM meta WHERE run BETWEEN 4 AND 6),
-m AS (SELECT * FROM (SELECT k, seq, op, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM dedup WHERE run <= 3) WHERE rn = 1)
+@query(f"""WITH {LOG}, {RUNS}, {TABLES}, deeper AS (SELECT * FROM tables WHERE lvl > 0),
+m AS (SELECT * FROM (SELECT k, seq, op, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM dedup WHERE run NOT IN (SELECT id FROM deeper)) WHERE rn = 1)
 SELECT k, seq, op, v FROM m WHERE op = 1 OR EXISTS (SELECT 1 FROM deeper d WHERE m.k BETWEEN d.min_key AND d.max_key)""")
 def kv_compact_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of level 0 compacted over the zone maps of all deeper levels."""
     runs = _dedup(spark, sf_dir)
-    deeper = zonemap.run_meta(runs.filter("run between 4 and 6"))
-    return compaction.compact_over(runs.filter("run <= 3"), deeper).select("k", "seq", "op", "v")
-
-
-@query(f"""WITH {LOG}, {RUNS}, aged AS (SELECT *, row_number() OVER (ORDER BY run DESC) - 1 AS age, count(*) OVER () AS runs FROM meta),
-deeper AS (SELECT * FROM aged WHERE 3 * age >= runs),
-m AS (SELECT * FROM (SELECT k, seq, op, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM dedup WHERE run NOT IN (SELECT run FROM deeper)) WHERE rn = 1)
-SELECT k, seq, op, v FROM m WHERE op = 1 OR EXISTS (SELECT 1 FROM deeper d WHERE m.k BETWEEN d.min_key AND d.max_key)""")
-def kv_compact_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of level 0, the newest third of the table's runs, compacted over the zone maps of all older runs."""
-    runs = _dedup(spark, sf_dir)
-    aged = snapshot.numbered(zonemap.run_meta(runs), F.col("run").desc(), into="nth")
-    level0 = 3 * (F.col("nth") - 1) < F.lit(aged.count())
-    newest = runs.join(F.broadcast(aged.filter(level0).select("run")), "run", "left_semi")
-    return compaction.compact_over(newest, aged.filter(~level0)).select("k", "seq", "op", "v")
-
-
-TABLES = f"tables AS (SELECT run AS id, min_key, max_key, keys, bytes, CAST({LEVEL} AS INTEGER) AS lvl FROM meta)"
+    tables = _levels(zonemap.run_meta(runs))
+    level0 = tables.filter("lvl = 0").agg(F.min("id")).first()[0]  # level 0 is all runs from this one on; null if there are none
+    newest = runs.filter(F.col("run") >= F.lit(level0))
+    return compaction.compact_over(newest, tables.filter("lvl > 0")).select("k", "seq", "op", "v")
 
 
 @query(f"""WITH {LOG}, {RUNS}, {TABLES} SELECT a.id, b.id AS next_id FROM tables a JOIN tables b ON a.min_key <= b.max_key AND a.max_key >= b.min_key

@@ -36,7 +36,7 @@ def test_query(spark, db, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("count", [1, 7, 13])
+@pytest.mark.parametrize("count", [0, 1, 7, 13])
 def test_all_of_level_0_is_compacted(spark, tmp_path, count):
     """The newest third of the runs, against plain Python; keys beyond the older runs' ranges lose their tombstones."""
     r = random.Random(count)
@@ -54,11 +54,11 @@ def test_all_of_level_0_is_compacted(spark, tmp_path, count):
     for i, _, user, kind, _, props in rows[first * 1000 :]:
         newest[f"u{user:07d}"] = (i + 1, 2, None) if kind == "error" else (i + 1, 1, f"{kind}|{props}")
     want = sorted((k, *x) for k, x in newest.items() if x[1] == 1 or any(a <= k <= b for a, b in ranges))
-    got = sorted(tuple(x) for x in queries.QUERIES["kv_compact_level0"](spark, str(tmp_path)).select("k", "seq", "op", "v").collect())
+    got = sorted(tuple(x) for x in queries.QUERIES["kv_compact_l0"](spark, str(tmp_path)).select("k", "seq", "op", "v").collect())
     assert got == want
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    assert sorted(con.execute(queries.ORACLES["kv_compact_level0"]).fetchall()) == want
+    assert sorted(con.execute(queries.ORACLES["kv_compact_l0"]).fetchall()) == want
 
 
 @pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "ahocorasick", "pyarrow", "corpus_pipeline", "kvlake.llm"])
