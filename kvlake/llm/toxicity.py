@@ -68,13 +68,13 @@ def _grams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     within = (inside > 0) & (left > 1)
     marked[: len(owner)][within] = data[(start[owner] + inside - 1)[within]]
     marked[: len(owner)][inside == 0] = 256
-    rows = np.full((len(owner), len(N_GRAMS)), CHAR_ROWS, np.int32)
+    rows = np.empty((len(owner), len(N_GRAMS)), np.int32, order="F")
     with np.errstate(over="ignore"):
-        for k, n in enumerate(N_GRAMS):
-            h = np.full(len(owner), n, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(0x100000001B3) + marked[i : i + len(owner)]
-            rows[:, k] = np.where(left >= n, mix(h) % np.uint64(CHAR_ROWS), CHAR_ROWS)
+        h = np.zeros(len(owner), np.uint64)
+        for i in range(max(N_GRAMS)):  # the hash of a longer n-gram continues that of a shorter one
+            h = h * np.uint64(0x100000001B3) + marked[i : i + len(owner)]
+            if i + 1 in N_GRAMS:
+                rows[:, N_GRAMS.index(i + 1)] = np.where(left > i, mix(h + np.uint64(i)) % np.uint64(CHAR_ROWS), CHAR_ROWS)
     return rows, owner
 
 
@@ -155,7 +155,11 @@ class Network:
         for at in range(0, len(ids.owner), PLACES):
             owner = ids.owner[at : at + PLACES]
             edge = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
-            chars[owner[edge]] += np.add.reduceat(table[ids.grams[at : at + PLACES]].sum(axis=1), edge)
+            some = ids.grams[at : at + PLACES]
+            here = table.take(some[:, 0], axis=0)
+            for k in range(1, len(N_GRAMS)):
+                here += table.take(some[:, k], axis=0)
+            chars[owner[edge]] += np.add.reduceat(here, edge)
         chars /= ids.root[:, None]
         return np.concatenate([np.concatenate([word, chars], axis=1), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
 
