@@ -59,12 +59,31 @@ def windows(df: DataFrame, at: Column, length: str, *by: str) -> DataFrame:
     return df.groupBy(F.window(at, length).alias("w"), *by).agg(F.count("*").alias("n")).withColumn("start_us", F.unix_micros(F.col("w.start"))).drop("w")
 
 
-def streaks(df: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
-    """Longest run of consecutive failures of every group (gaps and islands), and whether it reaches the alarm threshold."""
-    w = Window.partitionBy(by).orderBy(order)
-    runs = df.select(by, order, failed.alias("failed")).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy(by, "failed").orderBy(order)))
-    each = runs.groupBy(by, "failed", "island").agg(F.count("*").alias("n"))
-    return each.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("failed"), F.col("n"))), F.lit(0)).cast("long").alias("streak")).withColumn("alarm", F.col("streak") >= STREAK)
+def _slices(df: DataFrame, order: str, slices: int) -> Column:
+    """Number of a row's slice: the order is cut at approximate quantiles, so no slice holds much more than its share; nulls come first."""
+    shares = [i / slices for i in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(order, shares, 10 * slices)).first()[0] or []  # a sketch; ``slices`` values
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut <= F.col(order))) if cuts else F.lit(0)
+
+
+def streaks(df: DataFrame, by: str, order: str, failed: Column, slices: int = 256) -> DataFrame:
+    """Longest run of consecutive failures of every group, and whether it reaches the alarm threshold; a null is no failure.
+
+    A group's rows are walked in slices of the order, each by itself, so a hot group is not one task's work. A run that crosses slices is
+    put together from slice totals: it begins after the last success of the slices before.
+    """
+    rows = df.select(by, order, F.coalesce(failed, F.lit(False)).alias("failed"))
+    rows = rows.withColumn("slice", _slices(rows, order, slices))
+    at = Window.partitionBy(by, "slice").orderBy(order)
+    placed = rows.withColumn("at", F.row_number().over(at).cast("long")).withColumn("good", F.when(~F.col("failed"), F.col("at")))
+    since = F.col("at") - F.coalesce(F.max("good").over(at.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    each = placed.withColumn("since", since).groupBy(by, "slice").agg(F.count("*").alias("n"), F.max("since").alias("inner"), F.min("good").alias("first_good"), F.max("good").alias("last_good"))
+    before = Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    summed = each.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("good_at", F.col("begin") + F.col("last_good"))
+    carried = F.col("begin") - F.coalesce(F.max("good_at").over(before), F.lit(0))
+    crossing = carried + F.coalesce(F.col("first_good") - 1, F.col("n"))
+    longest = summed.select(by, F.greatest("inner", crossing).alias("streak")).groupBy(by).agg(F.max("streak").cast("long").alias("streak"))
+    return longest.withColumn("alarm", F.col("streak") >= STREAK)
 
 
 def ring(df: DataFrame, shard: Column, order: str, size: int = RING) -> DataFrame:
@@ -92,17 +111,16 @@ def waits(df: DataFrame) -> DataFrame:
     return df.agg(F.sum(late).cast("long").alias("wait_ns"), F.max(late).alias("max_wait_ns"), F.count_if(late > 0).alias("late"))
 
 
-def backlog(df: DataFrame, opened: Column, closed: Column, slots: int = 4096) -> DataFrame:
+def backlog(df: DataFrame, opened: Column, closed: Column, slots: int = 256) -> DataFrame:
     """Largest number of requests open at once; at equal times opens count before closes.
 
-    Two levels: times fall into at most ``slots`` equal spans, each span is walked by itself, and what was open before it comes from a prefix
-    sum over span totals. So no window holds more than a span of the rows.
+    Two levels: times are cut at quantiles into ``slots`` spans, each span is walked by itself, and what was open before it comes from a
+    prefix sum over span totals. So no window holds much more than its share of the times, bursts included.
     """
     steps = df.select(F.explode(F.array(F.struct(opened.alias("at"), F.lit(1).alias("d")), F.struct(closed.alias("at"), F.lit(-1).alias("d")))).alias("s")).select("s.at", "s.d")
     sums = steps.groupBy("at").agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("opens"), F.sum("d").alias("net"))
-    ends = sums.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    spans = sums.crossJoin(F.broadcast(ends)).withColumn("span", F.expr(f"cast(least({slots - 1}, floor((at - lo) / greatest(hi - lo, 1) * {slots})) as int)"))
-    before_span = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.withColumn("span", _slices(steps, "at", slots))
+    before_span = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
     totals = spans.groupBy("span").agg(F.sum("net").alias("t")).select("span", F.coalesce(F.sum("t").over(before_span), F.lit(0)).alias("base"))
     before = Window.partitionBy("span").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     walked = spans.withColumn("running", F.coalesce(F.sum("net").over(before), F.lit(0))).join(F.broadcast(totals), "span")

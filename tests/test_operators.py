@@ -60,6 +60,33 @@ def test_histogram_and_percentiles(spark):
     assert 500 <= row[0] <= 505 and 1000 <= row[1] <= 1010
 
 
+def test_streaks_of_a_hot_group_cross_slices(spark):
+    """Against a plain walk: one group holds most rows, nulls of the order come first, a null outcome is no failure."""
+    r = random.Random(8)
+    rows = [(1 if r.random() < 0.7 else r.randrange(2, 9), i, r.choices([True, False, None], [30, 2, 1])[0]) for i in range(900)] + [(9, None, True)]
+    want = {}
+    for u, _, bad in rows:
+        now, best = want.get(u, (0, 0))
+        now = now + 1 if bad else 0
+        want[u] = now, max(best, now)
+    df = spark.createDataFrame(rows, "u int, o long, bad boolean")
+    for slices in (1, 5, 256):
+        got = {x["u"]: (x["streak"], x["alarm"]) for x in workload.streaks(df, "u", "o", F.col("bad"), slices).collect()}
+        assert got == {u: (n, n >= 10) for u, (_, n) in want.items()}
+    assert workload.streaks(df.limit(0), "u", "o", F.col("bad")).count() == 0
+
+
+def test_backlog_of_a_burst(spark):
+    """Most requests open within a sliver of the time; one is far off."""
+    r = random.Random(9)
+    rows = [(a, a + r.randrange(1, 50)) for a in (r.randrange(1000) for _ in range(600))] + [(10**15, 10**15 + 5)]
+    want = max(sum(x <= a <= y for x, y in rows) for a, _ in rows)
+    df = spark.createDataFrame(rows, "a long, b long")
+    for slots in (1, 7, 256):
+        assert workload.backlog(df, F.col("a"), F.col("b"), slots).first()[0] == want
+    assert workload.backlog(df.limit(0), F.col("a"), F.col("b")).first()[0] is None
+
+
 def test_streaks_backlog_and_ring(spark):
     df = spark.createDataFrame([(1, i, i not in (3, 20)) for i in range(16)] + [(2, 0, False)], "u int, o int, bad boolean")
     assert {r["u"]: (r["streak"], r["alarm"]) for r in workload.streaks(df, "u", "o", F.col("bad")).collect()} == {1: (12, True), 2: (0, False)}
