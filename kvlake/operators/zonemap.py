@@ -34,12 +34,12 @@ def range_candidates(meta: DataFrame, lower=None, upper=None) -> DataFrame:
 def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, other_low: str, other_high: str, bins: int = 256, semi: bool = False) -> DataFrame:
     """Pairs of rows whose ranges [low, high] and [other_low, other_high] overlap, both ends inclusive; with ``semi`` the left rows that have a partner.
 
-    The key space is cut at up to ``bins`` evenly ranked starts of the right side. Rows go to all bins they meet and are joined by bin, so no
+    The key space is cut at about ``bins`` starts of the right side, drawn by hash (all of them, if there are fewer than twice as many). Rows go to all bins they meet and are joined by bin, so no
     side is broadcast whole or compared with all of the other. A pair is given out in the first bin that both meet.
     """
-    starts = numbered(right.select(F.col(other_low).alias("cut")).distinct(), F.col("cut"))
+    starts = right.select(F.col(other_low).alias("cut")).filter("cut is not null").distinct()
     step = max(1, starts.count() // bins)
-    cuts = F.array(*[F.lit(r["cut"]) for r in starts.filter((F.col("ord") - 1) % step == 0).orderBy("cut").collect()])  # about ``bins`` values
+    cuts = F.array(*[F.lit(r["cut"]) for r in starts.filter(F.pmod(F.xxhash64("cut"), F.lit(step)) == 0).collect()])  # about ``bins`` values
     bin_of = lambda c: F.size(F.filter(cuts, lambda cut: cut <= F.col(c)))
     dealt = lambda df, a, b, to: df.withColumn(f"__{to}", bin_of(a)).withColumn("__bin", F.explode(F.sequence(F.col(f"__{to}"), F.greatest(bin_of(b), F.col(f"__{to}")))))
     ours, theirs = dealt(left, low, high, "l"), dealt(right, other_low, other_high, "r")
