@@ -690,12 +690,14 @@ def kv_trivial_move(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG} SELECT k, seq, op FROM log")
 def kv_merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs as sources of one merge; the order is checked on the way: a row that is out of order is left out."""
-    log = _log(spark, sf_dir).withColumnRenamed("k", "key")
-    runs = [log.filter(F.col("run") == r["run"]) for r in log.select("run").distinct().orderBy("run").collect()]
-    merged = snapshot.merge(runs).withColumn("at", F.monotonically_increasing_id())
-    ordered = Window.partitionBy("key").orderBy("at")
-    good = F.coalesce(F.lag("seq").over(ordered) > F.col("seq"), F.lit(True))
+    """All runs as sources of one merge; the order is checked on the way: a row that is out of order is left out.
+
+    The runs are one table and one source of the plan, however many there are.
+    """
+    log = _log(spark, sf_dir).select(F.col("k").alias("key"), "seq", "op")
+    merged = snapshot.merge([log]).withColumn("at", F.monotonically_increasing_id())
+    place, ordered = F.struct("seq", "op"), Window.partitionBy("key").orderBy("at")
+    good = F.coalesce(F.lag(place).over(ordered) >= place, F.lit(True))
     return merged.withColumn("good", good).filter("good").select(F.col("key").alias("k"), "seq", "op")
 
 

@@ -61,6 +61,24 @@ def test_all_of_level_0_is_compacted(spark, tmp_path, count):
     assert sorted(con.execute(queries.ORACLES["kv_compact_l0"]).fetchall()) == want
 
 
+def _events(spark, folder, rows):
+    """A table of (event_id, user_id, event_type), and the same as a view of DuckDB."""
+    at = datetime.datetime(2024, 1, 1)
+    full = [(i, at, user, kind, 1.0, f"p{i}") for i, user, kind in rows]
+    spark.createDataFrame(full, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+def test_runs_are_merged_in_one_plan(spark, tmp_path):
+    """The plan does not grow with the number of runs; rows that are equal are in order."""
+    con = _events(spark, tmp_path, [(i // 2 * 1000, 0 if i % 4 < 2 else i % 7, "error" if i % 3 == 0 else "view") for i in range(60)])
+    df = queries.QUERIES["kv_merge_runs"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert sorted(tuple(r) for r in df.select("k", "seq", "op").collect()) == sorted(con.execute(queries.ORACLES["kv_merge_runs"]).fetchall())
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "ahocorasick", "pyarrow", "corpus_pipeline", "kvlake.llm"])
 def test_engine_queries_need_no_other_package(missing):
     """Whatever the training-data operators cannot import, the engine's queries stay."""
