@@ -12,36 +12,52 @@ from pyspark.sql import functions as F
 from kvlake.operators.zonemap import interval_join
 
 PROBE_PERCENT = 69
+#: Bits of one of Spark's bitmaps.
+BUCKET = 1 << 15
 
 
 def probes(bits_per_key: int) -> int:
     return max(1, bits_per_key * PROBE_PERCENT // 100)
 
 
-def _positions(df: DataFrame, key: str, sizes: str, bits_per_key: int) -> DataFrame:
+def _hashed(df: DataFrame, key: str, sizes: str) -> DataFrame:
+    """df with the two hashes of a key that all its positions follow from, as remainders, so that their sums cannot overflow."""
     a, b = F.xxhash64(F.col(key), F.lit(0)), F.xxhash64(F.col(key), F.lit(1)).bitwiseOR(1)
-    k = F.explode(F.sequence(F.lit(0), F.lit(probes(bits_per_key) - 1))).alias("__i")
-    spread = df.select("*", a.alias("__a"), b.alias("__b"), k)
-    # remainders first, so that the sum cannot overflow
-    return spread.withColumn("__bit", F.expr(f"pmod(pmod(__a, {sizes}) + __i * pmod(__b, {sizes}), {sizes})"))
+    return df.withColumns({"__a": F.pmod(a, F.col(sizes)), "__b": F.pmod(b, F.col(sizes))})
+
+
+def _positions(sizes: str, bits_per_key: int) -> list[str]:
+    """The positions of a hashed key, as SQL."""
+    return [f"pmod(__a + {i}L * __b, {sizes})" for i in range(probes(bits_per_key))]
 
 
 def build(records: DataFrame, table: str = "run", key: str = "k", bits_per_key: int = 12) -> DataFrame:
     """(table, bits, bucket, bitmap): the filter of every table's keys."""
     keys = records.select(table, key).distinct()
     sizes = keys.groupBy(table).agg((F.greatest(F.count("*") * bits_per_key, F.lit(64))).alias("bits"))
-    at = _positions(keys.join(sizes, table), key, "bits", bits_per_key)
-    return at.groupBy(table, "bits", F.expr("__bit div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(__bit % 32768)").alias("bitmap"))
+    bit = F.explode(F.array(*map(F.expr, _positions("bits", bits_per_key))))
+    at = _hashed(keys.join(sizes, table), key, "bits").select(table, "bits", bit.alias("__bit"))
+    return at.groupBy(table, "bits", F.expr(f"__bit div {BUCKET}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(__bit % {BUCKET})").alias("bitmap"))
 
 
 def may_contain(pairs: DataFrame, filters: DataFrame, table: str = "run", key: str = "k", bits_per_key: int = 12) -> DataFrame:
-    """pairs (table, key) with ``maybe``: false only if the key is not in the table."""
+    """pairs (table, key) with ``maybe``: false only if the key is not in the table.
+
+    A pair goes once to each bucket that it has positions in, and all of these are looked up there, in words that the bitmap is cut into before the join.
+    """
     sizes = filters.select(table, "bits").distinct()
-    at = _positions(pairs.select(table, key).distinct().join(sizes, table), key, "bits", bits_per_key)
-    at = at.withColumn("bucket", F.expr("__bit div 32768")).join(filters.select(table, "bucket", "bitmap"), [table, "bucket"], "left")
-    byte = F.expr("conv(hex(substring(bitmap, cast((__bit % 32768) div 8 + 1 as int), 1)), 16, 10)").cast("int")
-    is_set = F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1, F.lit(False))
-    return at.withColumn("__byte", byte).groupBy(table, key).agg(F.min(is_set).alias("maybe"))
+    at = _positions("bits", bits_per_key)
+    buckets = F.expr(f"if(bits <= {BUCKET}, array(0L), array_distinct(array({', '.join(f'shiftright({p}, 15)' for p in at)})))")
+    asked = _hashed(pairs.select(table, key).join(sizes.hint("shuffle_hash"), table), key, "bits").withColumn("bucket", F.explode(buckets))
+    last = f"least({BUCKET // 64 - 1}L, (bits - bucket * {BUCKET} - 1) div 64)"
+    words = F.expr(f"transform(sequence(0L, {last}), i -> cast(conv(hex(substring(bitmap, cast(i * 8 + 1 as int), 8)), 16, -10) as bigint))")
+    met = asked.join(filters.select(table, "bucket", words.alias("__words")).hint("shuffle_hash"), [table, "bucket"], "left")
+    # positions in a projection of their own, and shifts: the generated code stays small enough to be compiled
+    met = met.select(table, key, "bucket", "__words", *[F.expr(p).alias(f"__p{i}") for i, p in enumerate(at)])
+    # a word's first byte is its highest one
+    is_set = lambda p: f"coalesce(shiftright(get(__words, int(shiftright({p} & {BUCKET - 1}, 6))), int({p} & 63) ^ 56) & 1, 0) = 1"
+    maybe = F.expr(" and ".join(f"(shiftright(__p{i}, 15) <> bucket or {is_set(f'__p{i}')})" for i in range(len(at))))
+    return met.select(table, key, maybe.alias("maybe")).groupBy(table, key).agg(F.min("maybe").alias("maybe"))
 
 
 def probe_counts(keys: DataFrame, records: DataFrame, meta: DataFrame, filters: DataFrame, table: str = "run", key: str = "k", bits_per_key: int = 12) -> DataFrame:

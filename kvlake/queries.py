@@ -337,9 +337,10 @@ def kv_write_amp(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k, count(*) AS probed, count(*) FILTER (WHERE has) AS held, 0::BIGINT AS missed, true AS adds_up FROM asked GROUP BY k""")
 def kv_bloom_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes of filters that were written and read again: what depends on the hash is only that excluded, held and falsely kept tables add up."""
-    runs = _dedup(spark, sf_dir)
+    runs, _ = saved(_log(spark, sf_dir).select("run", "k").distinct())  # the keys that flushing keeps
     filters, _ = saved(bloom.build(runs))
-    counts = bloom.probe_counts(_log(spark, sf_dir).select("k"), runs, zonemap.run_meta(runs), filters)
+    ranges = runs.groupBy("run").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+    counts = bloom.probe_counts(runs.select("k"), runs, ranges, filters)
     return counts.select("k", "probed", "held", "missed", (F.col("probed") == F.col("negative") + F.col("held") + F.col("false_positive")).alias("adds_up"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kvlake.functions import config, generate, scalar
 from kvlake.operators import bloom, compaction, recovery, workload, zonemap
 from kvlake.schema import Corrupt, Options
+from kvlake.sources.store import saved
 
 
 def flagged(spark, *valid):
@@ -40,6 +41,28 @@ def test_bloom(spark):
     assert bloom.probes(12) == 8
 
 
+def test_bloom_lookups(spark):
+    """A pair is a row for each bucket that it has positions in, not for each position; filters of several buckets exclude none of their keys."""
+    key = lambda letter: F.concat(F.lit(letter), "id").alias("k")
+    held = spark.range(30000).select((F.col("id") % 15 == 0).cast("int").alias("run"), key("k"))  # 28,000 and 2,000 keys: eleven buckets and one
+    filters, _ = saved(bloom.build(held))
+    assert bloom.may_contain(held, filters).filter("not maybe").isEmpty()
+    assert 0 < bloom.may_contain(spark.range(30000).select(F.lit(0).alias("run"), key("x")), filters).filter("maybe").count() < 300
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        asked = bloom.may_contain(held.filter("run = 1"), filters)
+        assert len(asked.collect()) == 2000
+        todo, made = [asked._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Generate":
+                made.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert made == [2000]
+
+
 def test_split(spark):
     rows = spark.createDataFrame([(f"k{i:02d}", "v" * 16) for i in range(20)], "k string, v string")
     got = compaction.split(rows, 128, ranges=1).collect()
