@@ -495,12 +495,14 @@ def kv_recover_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fourth of five log batches is damaged: records no longer have their checksums. Recovery that truncates keeps the batches before it."""
     engine = _filled(spark, sf_dir)
     engine.stop()
-    mark = engine.units()[-1][3]
-    path = f"{engine.folder}/log/{mark['first']:020d}-{mark['last']:020d}"
-    text = engine.files.read(f"{path}/_COMMIT")
-    rows, _ = saved(spark.read.parquet(path).withColumn("value", F.lit(b"damaged")))
-    rows.write.mode("overwrite").parquet(path)
-    engine.files.create(f"{path}/_COMMIT", text)
+    size = -(-engine.committed // 5)
+    # full units before it may be flushed by now; the newest full unit and the open one are in the log, and with them this batch, if there are so many
+    for mark in [m for unit in engine.units() for m in unit if m["first"] == 3 * size + 1]:
+        path = f"{engine.folder}/log/{mark['first']:020d}-{mark['last']:020d}"
+        text = engine.files.read(f"{path}/_COMMIT")
+        rows, _ = saved(spark.read.parquet(path).withColumn("value", F.lit(b"damaged")))
+        rows.write.mode("overwrite").parquet(path)
+        engine.files.create(f"{path}/_COMMIT", text)
     again = Engine(spark, engine.folder, Options(corruption="truncate")).start()
     return _texts(again.scan())
 

@@ -1,5 +1,6 @@
 """Every query that SQL can express against DuckDB, on the smallest tables."""
 
+import dataclasses
 import datetime
 import os
 import random
@@ -11,6 +12,8 @@ import duckdb
 import pytest
 
 from kvlake import queries
+from kvlake.plans.engine import Engine
+from kvlake.schema import MAX_KEY_BYTES, MAX_VALUE_BYTES, Options
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = "/root/testdata/sf0.001"
@@ -61,10 +64,10 @@ def test_all_of_level_0_is_compacted(spark, tmp_path, count):
     assert sorted(con.execute(queries.ORACLES["kv_compact_l0"]).fetchall()) == want
 
 
-def _events(spark, folder, rows):
-    """A table of (event_id, user_id, event_type), and the same as a view of DuckDB."""
+def _events(spark, folder, rows, pad=0):
+    """A table of (event_id, user_id, event_type), and the same as a view of DuckDB; properties are ``pad`` bytes longer than they need be."""
     at = datetime.datetime(2024, 1, 1)
-    full = [(i, at, user, kind, 1.0, f"p{i}") for i, user, kind in rows]
+    full = [(i, at, user, kind, 1.0, f"p{i}" + "." * pad) for i, user, kind in rows]
     spark.createDataFrame(full, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
@@ -79,6 +82,21 @@ def test_runs_are_merged_in_one_plan(spark, tmp_path):
     assert sorted(tuple(r) for r in df.select("k", "seq", "op").collect()) == sorted(con.execute(queries.ORACLES["kv_merge_runs"]).fetchall())
 
 
+def _small_units(monkeypatch):
+    """Engines of the queries have the smallest units of flushing that options allow: 4 MiB and 4 KiB."""
+    least = MAX_KEY_BYTES + MAX_VALUE_BYTES
+    monkeypatch.setattr(queries, "Engine", lambda spark, folder, options=None: Engine(spark, folder, dataclasses.replace(options or Options(), memtable_bytes=least)))
+
+
+@pytest.mark.parametrize(("count", "pad"), [(0, 0), (3, 0), (6, 0), (40, 250_000), (40, 300_000)])
+def test_fourth_batch_is_damaged_wherever_it_lies(spark, tmp_path, monkeypatch, count, pad):
+    """With no fourth batch, and with one or two batches a unit, so that units before it are flushed."""
+    _small_units(monkeypatch)
+    con = _events(spark, tmp_path, [(i, i % 7, "error" if i % 9 == 8 else "view") for i in range(count)], pad)
+    got = queries.QUERIES["kv_recover_engine"](spark, str(tmp_path)).select("k", "v").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(queries.ORACLES["kv_recover_engine"]).fetchall())
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "ahocorasick", "pyarrow", "corpus_pipeline", "kvlake.llm"])
 def test_engine_queries_need_no_other_package(missing):
     """Whatever the training-data operators cannot import, the engine's queries stay."""
