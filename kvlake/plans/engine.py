@@ -156,8 +156,8 @@ class Engine:
             oplog.check(key, value)
         return self.append(oplog.rows(self.spark, writes, self.committed + 1).coalesce(1), len(writes)) if writes else self.committed
 
-    def append(self, rows: DataFrame, count: int, source: dict | None = None) -> int:
-        """Commit rows that carry the next ``count`` sequences. ``source`` is kept in the mark.
+    def append(self, rows: DataFrame, count: int, source: dict | None = None, maintain: bool = True) -> int:
+        """Commit rows that carry the next ``count`` sequences. ``source`` is kept in the mark. Without ``maintain``, full units stay in the log until a later write or flush.
 
         Rows with other sequences are an error and change nothing; a failing log makes the engine read-only.
         """
@@ -184,7 +184,8 @@ class Engine:
         self._marks.append(mark | ({"source": source} if source else {}))
         self.committed = last
         self._count(commits=1, commit_records=count, commit_seconds=time.perf_counter() - began, user_bytes_written=mark["bytes"])
-        self._maintain()
+        if maintain:
+            self._maintain()
         return last
 
     def last_of(self, name: str) -> int:

@@ -474,14 +474,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _filled(spark: SparkSession, sf_dir: str, batches: int = 5, options: Options | None = None) -> Engine:
-    """A new engine with the log committed in batches of equal numbers of sequences."""
+def _filled(spark: SparkSession, sf_dir: str, batches: int = 5, options: Options | None = None, maintain: bool = True) -> Engine:
+    """A new engine with the log committed in batches of equal numbers of sequences; without ``maintain``, all of it stays in the log."""
     log, engine = _octets(spark, sf_dir), Engine(spark, _folder(spark, "engine"), options).start()
     last = log.agg(F.max("seq")).first()[0] or 0
     size = max(1, -(-last // batches))
     for first in range(0, last, size):
         upto = min(last, first + size)
-        engine.append(log.filter((F.col("seq") > first) & (F.col("seq") <= upto)), upto - first)
+        engine.append(log.filter((F.col("seq") > first) & (F.col("seq") <= upto)), upto - first, maintain=maintain)
     return engine
 
 
@@ -552,8 +552,8 @@ def kv_engine_api(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'commits' AS name, 5::DOUBLE AS value UNION ALL SELECT 'commit_records', rows FROM n UNION ALL SELECT 'user_bytes_written', bytes FROM n UNION ALL SELECT 'flushes', 1
 UNION ALL SELECT 'committed', rows FROM n UNION ALL SELECT 'checkpoint', rows FROM n UNION ALL SELECT 'log_batches', 0 UNION ALL SELECT 'retained_files', 5 UNION ALL SELECT 'read_only', 0""")
 def kv_engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters and gauges of five commits and a flush."""
-    engine = _filled(spark, sf_dir)
+    """Counters and gauges of five commits and a flush of them all; no write flushes by itself, whatever the size."""
+    engine = _filled(spark, sf_dir, maintain=False)
     engine.flush()
     named = F.col("name").isin("commits", "commit_records", "user_bytes_written", "flushes", "committed", "checkpoint", "log_batches", "retained_files", "read_only")
     return engine.metrics().filter(named).select("name", "value")

@@ -97,6 +97,14 @@ def test_fourth_batch_is_damaged_wherever_it_lies(spark, tmp_path, monkeypatch,
     assert sorted(tuple(r) for r in got) == sorted(con.execute(queries.ORACLES["kv_recover_engine"]).fetchall())
 
 
+def test_metrics_are_of_one_flush(spark, tmp_path, monkeypatch):
+    """Five commits of two full units and an open one, and one flush."""
+    _small_units(monkeypatch)
+    con = _events(spark, tmp_path, [(i, i % 7, "error" if i % 9 == 8 else "view") for i in range(40)], 250_000)
+    got = queries.QUERIES["kv_engine_metrics"](spark, str(tmp_path)).select("name", "value").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(queries.ORACLES["kv_engine_metrics"]).fetchall())
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "public_tokenizers", "ahocorasick", "pyarrow", "corpus_pipeline", "kvlake.llm"])
 def test_engine_queries_need_no_other_package(missing):
     """Whatever the training-data operators cannot import, the engine's queries stay."""
